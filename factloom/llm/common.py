@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space; everything else belongs to a word.
-SPACE = r"[ \t-\r]+"
+from factloom.plans.storage import broadcast_if_small, new_path, shared_dir, stored
 
-_own_dir: str | None = None
+__all__ = ["SPACE", "broadcast_if_small", "let", "new_path", "shared_dir", "stored", "table", "whole_text", "words"]
 
+#: ASCII white space; everything else belongs to a word.
+SPACE = r"[ \t-\r]+"
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
@@ -32,33 +30,5 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    global _own_dir
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="factloom-")
-    return _own_dir
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/factloom/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage and outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` narrow rows; beyond that left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

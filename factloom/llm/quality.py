@@ -94,20 +94,12 @@ def host_rates(measured: DataFrame) -> DataFrame:
         F.count_if("base_failed").alias("n_failed"),
     )
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(
-        F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("per_doc")
-    ).select(
-        F.col("mean"),
-        (F.col("mean") * (1 - F.col("mean"))).alias("spread"),
-        (F.col("var") - F.col("mean") * (1 - F.col("mean")) * F.col("per_doc")).alias("extra"),
-    )
-    weight = F.when(F.col("extra") > 0, F.col("spread") / F.col("extra") - 1).otherwise(F.lit(MAX_PRIOR))
-    prior = prior.select("mean", F.greatest(F.lit(MIN_PRIOR), F.least(F.lit(MAX_PRIOR), weight)).alias("weight"))
-    one = F.lit(1).alias("one")
-    # one row of prior for each host: an equi-join on a constant with a single row, not a product of tables
-    both = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior.select("*", one)), "one").drop("one")
-    shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return both.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > MAX_HOST_RATE).drop("mean", "weight")
+    fitted = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("per_doc")).first()
+    mean = fitted["mean"] or 0.0
+    extra = (fitted["var"] or 0.0) - mean * (1 - mean) * (fitted["per_doc"] or 0.0)
+    weight = min(MAX_PRIOR, max(MIN_PRIOR, mean * (1 - mean) / extra - 1)) if extra > 0 else MAX_PRIOR
+    shrunk = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > MAX_HOST_RATE)
 
 
 def judged(docs: DataFrame, measured: DataFrame, host: str = "host") -> DataFrame:
