@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, simhash, token_files
+from . import mixing, packing, quality, secrets, simhash, token_files
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits(out.fingerprint).alias("fingerprint"), "component_id")
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op3_packing": op3_packing,
+    "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
