@@ -7,8 +7,10 @@ words it has met, up to a bound, which saves most calls of the tokenizer.
 
 from __future__ import annotations
 
+from array import array
+
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -41,20 +43,22 @@ class WordEncoder(dict):
         return ids
 
     def _ids(self, word: bytes) -> bytes:
-        import numpy as np
-
+        if word.isalpha():  # of ASCII; a run of letters goes straight to the merges
+            low = word.lower()
+            return self[low] if low != word else array("I", [t.id for t in self.model.tokenize(low.decode())]).tobytes()
+        if word[-1:] in b".,;:!?" and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]  # letters and marks are parted before merging
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "ɐ":
-            # letters of one run, each its own normal form: straight to the merges
-            low = text.lower().encode("utf-8")
-            if low != word:
-                return self[low]
-            ids = [t.id for t in self.model.tokenize(low.decode("latin-1").translate(self.letters))]
+        if text.isalpha() and max(text) < "ɐ":  # letters that are each their own normal form
+            low = text.lower()
+            if low != text:
+                return self[low.encode()]
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
         elif len(text) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1:]]  # letters and marks are parted before merging
+            return self[word[:-1]] + self[word[-1:]]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def text(self, text: bytes | None) -> bytes:
         if len(self) > CACHE_WORDS:
