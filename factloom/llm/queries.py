@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, secrets, simhash, token_files
+from . import line_chunks, mixing, packing, ppm, quality, secrets, simhash, token_files
 from .common import table
 
 
@@ -19,6 +19,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.deduped(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op2_ppm_score": op2_ppm_score,
+    "op4_line_dedup": op4_line_dedup,
     "op3_packing": op3_packing,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
