@@ -22,6 +22,8 @@ from .common import broadcast_if_small, stored, whole_text
 
 LENGTH = 2048
 END_ID = 1
+#: Documents whose ids a task holds at once.
+BATCH_ROWS = 1000
 #: Pieces in a bucket within which ranks are counted.
 BUCKET_ROWS = 20_000
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
@@ -34,7 +36,8 @@ def _cut(path: str, length: int, end_id: int):
 
         words, end, step = token_ids.encoder(path), np.array([end_id], "<u4").tobytes(), 4 * length
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
+        for whole, row in ((b, i) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)):
+            batch = whole.slice(row, BATCH_ROWS)
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ids = words.text(text) + end

@@ -21,6 +21,8 @@ from . import token_ids
 from .common import broadcast_if_small, new_path, stored, whole_text
 
 END_ID = 2
+#: Documents whose ids a task holds at once.
+BATCH_ROWS = 1000
 SCHEMA = "doc_id bigint, at bigint, ids array<int>"
 
 
@@ -30,14 +32,16 @@ def _encode(path: str, end_id: int):
         import pyarrow as pa
 
         words, end, at = token_ids.encoder(path), np.array([end_id], "<u4").tobytes(), 0
-        for batch in batches:
-            ids = [words.text(t) + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-            starts = pa.array((at + offsets[:-1]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), starts, lists], ["doc_id", "at", "ids"])
-            at += int(offsets[-1])
+        for whole in batches:
+            for row in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(row, BATCH_ROWS)
+                ids = [words.text(t) + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+                starts = pa.array((at + offsets[:-1]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), starts, lists], ["doc_id", "at", "ids"])
+                at += int(offsets[-1])
 
     return run
 

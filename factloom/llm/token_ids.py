@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from array import array
 
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps before they become the older half of its cache.
+CACHE_WORDS = 400_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -21,11 +21,10 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that byte-level BPE writes for each byte."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+#: Bytes of small letters that are their own normal form and that byte-level BPE writes as they are: a-z, and most of U+00E1 to U+00FF.
+_LETTERS = bytes(range(ord("a"), ord("z") + 1)) + b"\xc3" + bytes(b for b in range(0xA1, 0xC0) if b not in (0xAD, 0xB7))
+#: Marks that form runs of their own at a word's end; those of special tokens and of contractions are left out.
+_MARKS = b".,;:!?#*$%&()[]{}-_+=/@"
 
 
 class WordEncoder(dict):
@@ -36,34 +35,30 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self._ids(word)
+        ids = self.old.get(word)
+        ids = self[word] = self._ids(word) if ids is None else ids
         return ids
 
     def _ids(self, word: bytes) -> bytes:
-        if word.isalpha():  # of ASCII; a run of letters goes straight to the merges
-            low = word.lower()
-            return self[low] if low != word else array("I", [t.id for t in self.model.tokenize(low.decode())]).tobytes()
-        if word[-1:] in b".,;:!?" and word[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1:]]  # letters and marks are parted before merging
+        if not word.translate(None, _LETTERS):  # one run of small letters goes straight to the merges
+            return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1"))]).tobytes()
+        letters = word.rstrip(_MARKS)
+        if letters and len(letters) < len(word) and not letters.translate(None, _LETTERS):
+            return self[letters] + self[word[len(letters) :]]  # letters and marks are parted before merging
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "ɐ":  # letters that are each their own normal form
-            low = text.lower()
-            if low != text:
-                return self[low.encode()]
-            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
-        elif len(text) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: bytes | None) -> bytes:
         if len(self) > CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        if not text:
+            return b""
+        # ASCII capitals first, which spares their words a turn; special tokens are written as they are
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def encoder(path: str) -> WordEncoder:
