@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.plans.storage import broadcast_if_small, new_path, shared_dir, stored
 
-__all__ = ["SPACE", "broadcast_if_small", "let", "new_path", "shared_dir", "stored", "table", "whole_text", "words"]
+__all__ = ["SPACE", "broadcast_if_small", "first_of_repeats", "let", "new_path", "shared_dir", "stored", "table", "whole_text", "with_keys", "words"]
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"[ \t-\r]+"
@@ -30,5 +30,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def with_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``row``, ``k`` and ``h``: every row as a struct, its id without nulls, and the hash of all its columns.
+
+    Rows that agree in k and h are the same row repeated.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    k = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    return docs.select(F.struct(*columns).alias("row"), k.alias("k"), F.xxhash64(*columns).alias("h"))
+
+
+def first_of_repeats(keyed: DataFrame) -> DataFrame:
+    """One of each set of repeated rows of ``with_keys``; shuffled and sorted as a join on k and h asks for."""
+    return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("k", "h").orderBy("k", "h"))).filter("_n = 1").drop("_n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

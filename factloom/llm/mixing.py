@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, whole_text, words
+from .common import broadcast_if_small, first_of_repeats, let, stored, whole_text, with_keys, words
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -149,17 +149,16 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The mix as rows with the columns of ``docs``: for each pass, the words that it takes of a document, with n_chars to match."""
-    text = whole_text()
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select("doc_id", "source", F.size(words(text)).cast("bigint").alias("size"), F.xxhash64(text).alias("h"), row)
-    small = stored(rows.drop("row"), "sizes")
-    known = stored(sources(small), "targets")
-    at = stored(placed(stored(rows, "rows"), known), "placed")
-    parts = takings(at.drop("row"), known).groupBy("sid", "at", "epoch").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("start", "taken"))).alias("parts"))
-    found = at.filter("size > 0").join(parts, ["sid", "at"])
+    keyed = with_keys(docs)
+    rows = stored(keyed.select(F.col("k").alias("doc_id"), F.col("row.source").alias("source"), F.size(words(whole_text(F.col("row.text")))).cast("bigint").alias("size"), "h"), "sizes")
+    known = stored(sources(rows), "targets")
+    at = stored(placed(rows, known), "placed")
+    parts = takings(at, known).groupBy("sid", "at", "epoch").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("start", "taken"))).alias("parts"))
+    parts = at.filter("size > 0").join(parts, ["sid", "at"]).select(F.col("doc_id").alias("k"), "h", "size", "taken", "parts")
+    found = first_of_repeats(keyed).join(parts, ["k", "h"])
     pieces = F.regexp_extract_all(F.col("row.text"), F.lit(r"([^ \t-\r]+[ \t-\r]*)"))
-    some = F.get(F.transform(F.array(pieces), lambda w: F.concat_ws("", F.transform("parts", lambda p: F.concat_ws("", F.slice(w, (p["start"] + 1).cast("int"), p["taken"].cast("int")))))), F.lit(0))
+    some = let(pieces, lambda w: F.concat_ws("", F.transform("parts", lambda p: F.concat_ws("", F.slice(w, (p["start"] + 1).cast("int"), p["taken"].cast("int"))))))
     out = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.regexp_replace(some, r"[ \t-\r]+$", ""))
     found = found.select("row", out.alias("new_text"))
     made = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("bigint")}
-    return found.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return found.select(*((made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.plans.components import connected_components
 
-from .common import stored, whole_text
+from .common import first_of_repeats, stored, whole_text, with_keys
 
 SHINGLE = 3
 SEED = 42
@@ -101,15 +101,29 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(stars) if crowds.limit(1).count() else pairs
 
 
+def labelled(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``rows``, a stored table with a fingerprint column, with the fingerprint that names its component."""
+    prints = stored(rows.select("fingerprint").distinct(), "prints")
+    labels = connected_components(links(prints.select(F.col("fingerprint").alias("b")), crowd))
+    named = labels.select(F.col("node").alias("fingerprint"), "component")
+    named = stored(prints.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component")), "components")
+    return rows.join(named, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id reachable over links, of every row."""
-    rows = stored(fingerprints(docs, key), "fingerprints")
-    ids = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
-    labels = connected_components(links(ids.select(F.col("fingerprint").alias("b")), crowd))
-    known = ids.join(labels, ids.fingerprint == labels.node).select("component", "fingerprint", "least")
-    grouped = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fingerprint", "component_id")
-    found = ids.join(grouped, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    found = labelled(stored(fingerprints(docs, key), "fingerprints"), crowd)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+    """Of each component the row with the smallest id, in the columns of ``docs``."""
+    keyed = with_keys(docs, key)
+    texts = keyed.select("k", "h", whole_text(F.col("row.text")).alias("text"))
+    found = labelled(stored(texts.mapInArrow(_fingerprints, "k bigint, h bigint, fingerprint bigint"), "fingerprints"), crowd)
+    kept = found.groupBy("component").agg(F.min(F.struct("k", "h")).alias("kept")).select("kept.*")
+    return first_of_repeats(keyed).join(kept, ["k", "h"]).select("row.*")
 
 
 def hex_digits(fingerprint: Column) -> Column:
