@@ -1,10 +1,6 @@
 """All queries of the library and their SQL."""
 
-from __future__ import annotations
+from factloom.queries import facts, rows, texts  # noqa: F401
+from factloom.queries.base import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
