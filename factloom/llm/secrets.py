@@ -40,7 +40,7 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 #: What a text must match for a kind's spans to be worth locating; each passes every text that has a span.
-_GATES = {
+GATES = {
     "assign": r"""(?i)(?:passw(?:or)?d|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""",
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
@@ -69,7 +69,7 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
         kept = F.coalesce(x["counted"] >= least, F.lit(False))
         return F.struct(end.cast("bigint").alias("at"), F.when(kept, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    return F.when(text.rlike(_GATES[kind]), F.aggregate(sizes, zero, step, lambda a: a["out"])).otherwise(
+    return F.when(text.rlike(GATES[kind]), F.aggregate(sizes, zero, step, lambda a: a["out"])).otherwise(
         F.array().cast(f"array<{_SPAN}>")
     )
 
