@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks of lines (operator 4).
 
 A text's lines are hashed, and a rolling hash over each WINDOW of line hashes
-ends a chunk where it falls on a boundary value, so that chunks depend on the
-lines alone and not on their place: text before a shared passage doesn't shift
-the chunks within it. A line of LONG_WORDS words or more is a chunk by itself.
+ends a chunk of two lines or more where it falls on a boundary value, so that
+chunks depend on the lines and hardly on their place: text before a shared
+passage shifts no more than the first chunks within it. A line of LONG_WORDS words or more is a chunk by itself.
 Of chunks that the corpus has more than once, the first in order of doc_id and
 place stays and the others are removed. Only chunks of two or more lines, or of
 a long line, count, and only with MIN_WORDS words or more.
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 2
-#: One in so many rolling hashes ends a chunk.
-DIVISOR = 3
+#: One in so many rolling hashes ends a chunk, if it has two lines.
+DIVISOR = 2
 LONG_WORDS = 50
 MIN_WORDS = 10
 _FACTOR = 0x9E3779B97F4A7C15
@@ -47,7 +47,7 @@ def chunks_of(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR)
         rolled = 0
         for h in last:
             rolled = (rolled * _FACTOR + h) & _MASK
-        if n >= LONG_WORDS or (rolled >> 20) % divisor == 0 or i == len(lines) - 1:
+        if n >= LONG_WORDS or (i > start and (rolled >> 20) % divisor == 0) or i == len(lines) - 1:
             out.append((start, i + 1, total))
             start, total = i + 1, 0
     return out
