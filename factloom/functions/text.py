@@ -148,7 +148,7 @@ def iso_date(x) -> Column:
 def split_authors(x) -> Column:
     body = F.coalesce(col(x), F.lit(""))
     names = F.when(F.contains(body, F.lit(";")), F.split(body, ";")).otherwise(F.split(body, ","))
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n != ""))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))
 
 
 def cache_key(doi, pmcid, pmid, title) -> Column:

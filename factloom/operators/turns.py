@@ -32,7 +32,7 @@ def numbered(turns: DataFrame, session: str, order: str, role: str) -> DataFrame
 
 def sentence_claims(turns: DataFrame, session: str, order: str, text: str, most: int = 50) -> DataFrame:
     """Sentences of 20 to 400 characters as claims, numbered by turn and place, at most ``most`` a session."""
-    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?]+\s+"), F.trim)
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?]+\s+"), lambda s: F.trim(s))
     rows = turns.select(session, order, F.posexplode(parts).alias("pos", "claim")).filter(F.length("claim").between(20, 400))
     first = rows.groupBy(session, "claim").agg(F.min(F.struct(order, "pos")).alias("_at")).select(session, "claim", "_at.*")
     return first.withColumn("claim_no", F.row_number().over(Window.partitionBy(session).orderBy(order, "pos"))).filter(F.col("claim_no") <= most)
