@@ -6,28 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
+from pyspark.sql.types import StructType
 
-TRIPLE = S.StructType.fromDDL(
+TRIPLE = (
     "doc_id string, chunk_id string, head string, head_type string, surface_relation string, normalized_relation string, "
     "tail string, tail_type string, confidence double, evidence string, source string, meta string"
 )
-CHUNK = S.StructType.fromDDL("doc_id string, chunk_id string, title string, section string, text string, start_offset int, end_offset int")
+CHUNK = "doc_id string, chunk_id string, title string, section string, text string, start_offset int, end_offset int"
 
 
-def jsonl(spark: SparkSession, path: str, schema: S.StructType | str, tolerant: bool = False) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, schema: StructType | str, tolerant: bool = False) -> DataFrame:
     """One object a line. A bad line fails the read, or is left out when ``tolerant``; unknown fields are not read."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
 
 
-def jsonl_or_empty(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
+def jsonl_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """As ``jsonl``; a path that doesn't exist gives no rows."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
     return jsonl(spark, path, schema) if found else spark.createDataFrame([], schema)
 
 
-def json_document(spark: SparkSession, path: str, schema: S.StructType | str | None = None) -> DataFrame:
+def json_document(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
 
