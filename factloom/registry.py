@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from factloom.queries import facts, more, rows, texts  # noqa: F401
+from factloom.queries import facts, more, rows, tallies, texts  # noqa: F401
 from factloom.queries.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
