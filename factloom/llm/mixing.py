@@ -32,8 +32,8 @@ MAX_PASSES = 3
 BLOCK_WORDS = 512
 SHARD_SLOTS = 1024
 SEED = 7
-#: Documents in a bucket within which places in the stream are summed.
-BUCKET_ROWS = 20_000
+#: Documents of one source in a bucket within which places in the stream are summed.
+BUCKET_ROWS = 2_000
 #: Slots in a chunk by which slots and sources are joined.
 CHUNK_SLOTS = 1 << 14
 #: Primes for the permutations of blocks: none divides a number of blocks below it.
@@ -41,8 +41,8 @@ _PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 214748354
 
 
 def sources(rows: DataFrame) -> DataFrame:
-    """One row per source: sid, source, source_size, weight, target. ``rows`` has source and size."""
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """One row per source: sid, source, source_size, n_docs, weight, target. ``rows`` has source and size."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("sid") - 1) % len(WEIGHTS) + 1).cast("int"))
     cap = (MAX_PASSES * F.col("source_size")).cast("double")
@@ -61,17 +61,16 @@ def sources(rows: DataFrame) -> DataFrame:
         .withColumns({"all": all_, "caps_before": caps_before, "weights_from": weights_from})
         .withColumn("stops", stops)
         .withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(share))
-        .select("sid", "source", "source_size", "weight", "target")
+        .select("sid", "source", "source_size", "n_docs", "weight", "target")
     )
 
 
 def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows``, a stored table with doc_id, source, size and h, with sid and ``at``, the words before it in its source."""
-    n = rows.count()
     order = ["doc_id", "size", "h"]
-    names = known.select("sid", F.col("source").alias("_s"), "source_size", "target")
+    names = known.select("sid", F.col("source").alias("_s"), "source_size", "target", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("buckets"))
     keyed = rows.join(broadcast_if_small(names), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(max(1, -(-n // BUCKET_ROWS)))))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.col("buckets"))).drop("buckets")
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     sums = sums.select("sid", "bucket", before.alias("before"))
