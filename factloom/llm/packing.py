@@ -24,8 +24,8 @@ LENGTH = 2048
 END_ID = 1
 #: Documents whose ids a task holds at once.
 BATCH_ROWS = 1000
-#: Pieces in a bucket within which ranks are counted.
-BUCKET_ROWS = 20_000
+#: Pieces of one length in a bucket within which ranks are counted.
+BUCKET_ROWS = 2_000
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
@@ -102,8 +102,9 @@ def place(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     slot = spark.createDataFrame(slots, "size bigint, low bigint, high bigint, sequence bigint, offset bigint")
 
     order = [c for c in pieces.columns if c != "ids"]
-    n_buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)))
+    # a row for each length
+    shares = spark.createDataFrame([(size, -(-n // BUCKET_ROWS)) for size, n in histogram.items()], "length bigint, buckets bigint")
+    keyed = pieces.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets")))
     counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     counts = counts.select("length", "bucket", before.alias("before"))
