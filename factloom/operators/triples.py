@@ -83,13 +83,18 @@ def source_key(doc: str = "doc_id", chunk: str = "chunk_id", evidence: str = "ev
 
 
 def support(triples: DataFrame, *keys: str) -> DataFrame:
-    """Per key: independent sources, documents, mean and greatest confidence."""
-    return triples.groupBy(*keys).agg(
-        F.countDistinct(source_key()).alias("support_count"),
-        F.countDistinct(F.nullif(T.normalize_text("doc_id"), F.lit(""))).alias("doc_count"),
-        F.avg("confidence").alias("avg_confidence"),
-        F.max("confidence").alias("max_confidence"),
-    )
+    """Per key: independent sources, documents, mean and greatest confidence.
+
+    Counted level by level, sources within documents within keys, each partly
+    aggregated before its shuffle, where distinct counts would copy every row.
+    """
+    f, n = F.col("confidence"), F.col("confidence").isNotNull()
+    sources = triples.groupBy(*keys, T.normalize_text("doc_id").alias("_doc"), source_key().alias("_source")).agg(F.sum(f).alias("_sum"), F.count_if(n).alias("_n"), F.max(f).alias("_max"))
+    documents = sources.groupBy(*keys, "_doc").agg(F.count("_source").alias("_sources"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_max").alias("_max"))
+    return documents.groupBy(*keys).agg(
+        F.sum("_sources").alias("support_count"), F.count_if(F.col("_doc") != "").alias("doc_count"),
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("avg_confidence"), F.max("_max").alias("max_confidence"),
+    )
 
 
 def local_edges(triples: DataFrame) -> DataFrame:
