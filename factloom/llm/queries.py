@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {"op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8}
+SQL: dict[str, str] = {"op1_license_scan": sql.OP1, "op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import license_scan, quality, secrets
 
 OP8 = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') x FROM documents),
@@ -37,3 +37,18 @@ found AS (SELECT doc_id, count(*) FILTER (kind = 'assign') n_assign, count(*) FI
   string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rank) FILTER (rank < {len(secrets.BASE_RULES)}) base, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rank) spans FROM spans GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans FROM t LEFT JOIN found USING (doc_id)
 """
+
+
+_NOTICES = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(license_scan.NOTICES))
+_SHINGLES = f"list_transform(range(1, len(ws) - {license_scan.SHINGLE - 2}), lambda i: array_to_string(ws[i : i + {license_scan.SHINGLE - 1}], ' '))"
+
+#: Every window of every text that shares a shingle with a notice, without bands.
+OP1 = f"""
+WITH n AS (SELECT notice, license, list_distinct({_SHINGLES}) parts FROM (SELECT notice, license, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') ws FROM (VALUES {_NOTICES}) v(notice, license, x))),
+s AS (SELECT notice, license, parts, CAST(pow(2, ceil(log2(2.0 * len(parts)))) AS BIGINT) win FROM n),
+t AS (SELECT doc_id, {_SHINGLES} sh FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda v: v <> '') ws FROM documents)),
+marked AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(sh) p FROM t) WHERE p IN (SELECT unnest(parts) FROM n)),
+w AS (SELECT doc_id, notice, license, parts, win, sh, unnest(range(0, len(sh), win // 2)) st FROM t JOIN marked USING (doc_id), s),
+c AS (SELECT doc_id, notice, license, st, len(list_intersect(parts, list_distinct(sh[st + 1 : st + win]))) / len(parts)::DOUBLE contained FROM w)
+SELECT doc_id, license, notice, max(contained) contained, CAST(min(st) AS INTEGER) first_word FROM c WHERE contained >= {license_scan.MIN_CONTAINED} GROUP BY doc_id, license, notice
+"""
