@@ -46,22 +46,22 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tolerance:
     flows = edges.groupBy("head", "tail").agg(F.sum("weight").alias("w"))
     out = flows.groupBy("head").agg(F.sum("w").alias("total"))
     flows = stored(flows.join(out, "head").select("head", "tail", (F.col("w") / F.col("total")).alias("share")), "flows")
-    names = stored(edges.select(F.col("head").alias("node")).union(edges.select("tail")).distinct(), "nodes")
+    names = edges.select(F.col("head").alias("node")).union(edges.select("tail")).distinct()
+    heads = flows.select(F.col("head").alias("node")).distinct().withColumn("_out", F.lit(True))
+    names = stored(names.join(heads, "node", "left").select("node", F.col("_out").isNull().alias("loose")), "nodes")
     n = names.count()
     if not n:
-        return names.withColumn("rank", F.lit(0.0))
-    ranks = stored(names.withColumn("rank", F.lit(1.0 / n)), "ranks")
+        return names.select("node", F.lit(0.0).alias("rank"))
+    ranks = stored(names.withColumns({"rank": F.lit(1.0 / n), "old": F.lit(0.0)}), "ranks")
     for _ in range(rounds):
-        given = flows.join(ranks, F.col("head") == F.col("node")).groupBy("tail").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        loose = ranks.join(flows.select("head").distinct(), F.col("node") == F.col("head"), "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-        base = (1 - alpha) / n + alpha * loose / n
-        new = names.join(given, F.col("node") == F.col("tail"), "left").select("node", (F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = stored(new, "ranks")
-        moved = new.join(ranks.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new
+        loose, moved = ranks.agg(F.sum(F.when(F.col("loose"), F.col("rank"))), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
         if moved < n * tolerance:
             break
-    return ranks
+        given = flows.join(ranks, F.col("head") == F.col("node")).groupBy("tail").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        base = (1 - alpha) / n + alpha * (loose or 0.0) / n
+        new = F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))
+        ranks = stored(ranks.join(given, F.col("node") == F.col("tail"), "left").select("node", "loose", new.alias("rank"), F.col("rank").alias("old")), "ranks")
+    return ranks.select("node", "rank")
 
 
 def pagerank_tiers(edges: DataFrame) -> DataFrame:
