@@ -11,7 +11,6 @@ SLICES = (("question_type",), ("tier",), ("corroboration_status",), ("evidence_s
 def _slices(df: DataFrame, sets, *aggregates) -> DataFrame:
     """Grouping sets () and ``sets``; slice names the columns that a row is grouped by."""
     names = sorted({c for s in sets for c in s})
-    df.createOrReplaceTempView("_rows")
     columns = [F.col(c) for c in names]
     grouped = df.groupingSets([[], *[[F.col(c) for c in s] for s in sets]], *columns)
     slice_name = F.concat_ws(" x ", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in names))

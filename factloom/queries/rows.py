@@ -157,9 +157,6 @@ def claim_sentences(spark, d):
     return found.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("pos").cast("long").alias("pos"), F.md5("claim").alias("claim_md5"), F.col("claim_no").cast("long").alias("claim_no"))
 
 
-_SPANS = """spans AS (SELECT user_id, event_id % 1000 AS s, event_id % 1000 + CAST(value AS BIGINT) AS e FROM events)"""
-
-
 def _spans(spark, d):
     return table(spark, d, "events").select("user_id", (F.col("event_id") % 1000).alias("s"), (F.col("event_id") % 1000 + F.floor("value")).alias("e"))
 
