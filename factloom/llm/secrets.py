@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, new_path, stored, whole_text
+from .common import new_path, stored, whole_text
 
 #: Raised whenever a rule changes, so that old blobs are scanned again.
 RULE_VERSION = 1
