@@ -102,3 +102,16 @@ def choice_prompts(spark, d):
 )
 def page_costs(spark, d):
     return table(spark, d, "pages").select("page_id", T.token_estimate("html").alias("n_tokens"), T.host("url").alias("host"))
+
+
+@query(
+    """SELECT conv_id, CAST(idx AS INTEGER) idx, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) step_md5 FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 idx FROM conversations)
+    WHERE role = 'assistant' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''"""
+)
+def trajectory_steps(spark, d):
+    """Conversations nested as trajectories, and what the agent said in them."""
+    from factloom.operators import trajectory
+
+    none = F.lit(None).cast("array<struct<tool_name:string,tool_args:string>>")
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("role"), F.col("text")))), lambda x: F.struct(x["role"].alias("source"), F.lit("text").alias("type"), x["text"].alias("text"), none.alias("calls"))).alias("messages"))
+    return trajectory.steps(nested, "conv_id", "messages").select("conv_id", "idx", F.md5("step").alias("step_md5"))
