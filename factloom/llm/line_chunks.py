@@ -28,6 +28,8 @@ WINDOW = 2
 DIVISOR = 2
 LONG_WORDS = 50
 MIN_WORDS = 10
+#: Texts that a task holds as lines at once.
+BATCH_ROWS = 1000
 _FACTOR = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -58,6 +60,10 @@ def _counts(lines: list[bytes], chunk: tuple[int, int, int]) -> bool:
     return words >= MIN_WORDS and (end - start > 1 or words >= LONG_WORDS)
 
 
+def _slices(batches):
+    return (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
+
+
 def _chunks(with_body: bool):
     def run(batches):
         import pyarrow as pa
@@ -73,7 +79,7 @@ def _chunks(with_body: bool):
                 x.clear()
             return batch
 
-        for batch in batches:
+        for batch in _slices(batches):
             held = 0
             for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
@@ -95,7 +101,7 @@ def _chunks(with_body: bool):
 def _cut(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         texts, counts = [], []
         for text, removed in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("removed").to_pylist(), strict=True):
             lines = (text or b"").split(b"\n")
