@@ -1,18 +1,21 @@
-"""Line dedup by content-defined chunks of lines (operator 4).
-
-A text's lines are hashed, and a rolling hash over each WINDOW of line hashes
-ends a chunk of two lines or more where it falls on a boundary value, so that
-chunks depend on the lines and hardly on their place: text before a shared
-passage shifts no more than the first chunks within it. A line of LONG_WORDS words or more is a chunk by itself.
-Of chunks that the corpus has more than once, the first in order of doc_id and
-place stays and the others are removed. Only chunks of two or more lines, or of
-a long line, count, and only with MIN_WORDS words or more.
-
-Equal chunks are found by hash and compared as bytes: a pair of hashes under
+"""Line dedup by rolling hashes over lines (operator 4).
+
+A text's lines are hashed, and a rolling hash over the line hashes is kept of
+every WINDOW of lines, at whichever line it starts: so it depends on its lines
+alone, and a shared passage has the same hashes wherever it stands and whatever
+is around it. A line of LONG_WORDS words or more is kept by itself as well. Of
+windows and long lines that the corpus has more than once, the first in order
+of doc_id and place stays. The others, as runs of windows that start at
+consecutive lines, are removed if the run has MIN_WORDS words or more. A run
+thus has two lines or more, or is one long line. Each line that goes has an
+equal one that stays: the first place is before all others.
+
+Equal windows are found by hash and compared as bytes: a pair of hashes under
 which two different byte strings meet removes nothing.
 
 Defined cases: a null text stays null; an empty text has one empty line, which
-no chunk counts; rows that share doc_id and text are one place, so that either
+is in no run; an empty line is a line, so that a line and an empty one after it
+are a window; rows that share doc_id and text are one place, so that either
 keeps what the other keeps; a null doc_id comes first; an empty table gives an
 empty result; all columns are kept, whatever their names, with n_chars set to
 match where there is one. A text may end empty.
@@ -23,79 +26,95 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WINDOW = 2
-#: One in so many rolling hashes ends a chunk, if it has two lines.
-DIVISOR = 2
 LONG_WORDS = 50
 MIN_WORDS = 10
 #: Texts that a task holds as lines at once.
 BATCH_ROWS = 1000
 _FACTOR = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
-def chunks_of(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, words) of each chunk."""
+def chunks_of(lines: list[bytes]) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, words) of each chunk: a line each, so that no chunk holds lines of a passage and of what is around it."""
+    return [(i, i + 1, len(line.split())) for i, line in enumerate(lines)]
+
+
+def _counts(lines: list[bytes], chunk: tuple[int, int, int]) -> bool:
+    """Whether a repeated chunk, or a run of them, has the words to be removed."""
+    return chunk[2] >= MIN_WORDS
+
+
+def places_of(lines: list[bytes]):
+    """The place and two hashes of every window and every long line; a window from line i has the place 2 i, a long line 2 i + 1."""
+    import numpy as np
     import xxhash
 
-    out, start, total, last = [], 0, 0, [0] * window
-    for i, line in enumerate(lines):
-        n = len(line.split())
-        if n >= LONG_WORDS and i > start:
-            out.append((start, i, total))
-            start, total = i, 0
-        total += n
-        last = [*last[1:], xxhash.xxh64_intdigest(line)]
-        rolled = 0
-        for h in last:
-            rolled = (rolled * _FACTOR + h) & _MASK
-        if n >= LONG_WORDS or (i > start and (rolled >> 20) % divisor == 0) or i == len(lines) - 1:
-            out.append((start, i + 1, total))
-            start, total = i + 1, 0
-    return out
+    each = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<u8").reshape(-1, 2)
+    n = max(0, len(lines) - WINDOW + 1)
+    rolled = np.zeros((n, 2), np.uint64)
+    for k in range(WINDOW):
+        rolled = rolled * np.uint64(_FACTOR) + each[k : k + n]
+    # so many words have as many bytes and spaces between them
+    long = [i for i, line in enumerate(lines) if len(line) >= 2 * LONG_WORDS - 1 and len(line.split()) >= LONG_WORDS]
+    at = np.concatenate([2 * np.arange(n), 2 * np.array(long, np.int64) + 1])
+    return at, np.concatenate([rolled, each[long]]).view(np.int64)
 
 
-def _counts(lines: list[bytes], chunk: tuple[int, int, int]) -> bool:
-    start, end, words = chunk
-    return words >= MIN_WORDS and (end - start > 1 or words >= LONG_WORDS)
+def _body(lines: list[bytes], at: int) -> bytes:
+    return lines[at // 2] if at % 2 else b"\n".join(lines[at // 2 : at // 2 + WINDOW])
+
+
+def runs_of(lines: list[bytes], places) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, words) of each run to remove, by the places of windows and long lines that are repeated."""
+    spans: list[list[int]] = []
+    for i in sorted(at // 2 for at in places if at % 2 == 0):
+        if spans and i <= spans[-1][1] - WINDOW + 1:
+            spans[-1][1] = i + WINDOW
+        else:
+            spans.append([i, i + WINDOW])
+    spans += [[at // 2, at // 2 + 1] for at in places if at % 2]
+    runs = [(a, b, sum(len(line.split()) for line in lines[a:b])) for a, b in spans]
+    return [r for r in runs if _counts(lines, r)]
 
 
 def _slices(batches):
     return (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS))
 
 
-def _chunks(with_body: bool):
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        names = ["doc_id", "h", "at", "hash", "check", *["body"] * with_body]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * with_body]
-        out: list[list] = [[] for _ in names]
-
-        def rows():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-            for x in out:
-                x.clear()
-            return batch
-
-        for batch in _slices(batches):
-            held = 0
-            for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                lines = (text or b"").split(b"\n")
-                for at, chunk in enumerate(chunks_of(lines)):
-                    if _counts(lines, chunk):
-                        body = b"\n".join(lines[chunk[0] : chunk[1]])
-                        hashes = (xxhash.xxh64_intdigest(body, seed) - (1 << 63) for seed in (0, 1))
-                        for x, value in zip(out, (doc, h, at, *hashes, body), strict=False):
-                            x.append(value)
-                        held += len(body)
-                if held > 8_000_000:
-                    yield rows()
-                    held = 0
-            yield rows()
-
-    return run
+def _lines(batch):
+    import pyarrow as pa
+
+    return ((text or b"").split(b"\n") for text in batch.column("text").cast(pa.binary()).to_pylist())
+
+
+def _places(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in _slices(batches):
+        each = [places_of(lines) for lines in _lines(batch)]
+        row = pa.array(np.repeat(np.arange(len(each)), [len(at) for at, _ in each]))
+        at, hashes = np.concatenate([at for at, _ in each]), np.concatenate([h for _, h in each])
+        columns = [batch.column("doc_id").take(row), batch.column("h").take(row), pa.array(at), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "at", "hash", "check"])
+
+
+def _bodies(batches):
+    import pyarrow as pa
+
+    schema = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("body", pa.binary())])
+    for batch in _slices(batches):
+        out, held = [], 0
+        for lines, places in zip(_lines(batch), batch.column("places").to_pylist(), strict=True):
+            for place in places or ():
+                out.append({"hash": place["hash"], "check": place["check"], "body": _body(lines, place["at"])})
+                held += len(out[-1]["body"])
+            if held > 8_000_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out, held = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _cut(batches):
@@ -103,42 +122,40 @@ def _cut(batches):
 
     for batch in _slices(batches):
         texts, counts = [], []
-        for text, removed in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("removed").to_pylist(), strict=True):
-            lines = (text or b"").split(b"\n")
-            if not removed:
-                texts.append(text)
-                counts.append((len(lines), 0, 0))
-                continue
-            gone, kept = set(removed), []
-            for at, (start, end, _) in enumerate(chunks_of(lines)):
-                if at not in gone:
-                    kept += lines[start:end]
-            texts.append(b"\n".join(kept))
-            counts.append((len(lines), len(lines) - len(kept), len(gone)))
+        for text, lines, removed in zip(batch.column("text").cast(pa.binary()).to_pylist(), _lines(batch), batch.column("removed").to_pylist(), strict=True):
+            runs = runs_of(lines, removed or ())
+            gone = {i for a, b, _ in runs for i in range(a, b)}
+            texts.append(b"\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
+            counts.append((len(lines), len(gone), len(runs)))
         columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), *columns], ["row", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """hash, check and the first place of each chunk that ``rows`` (doc_id, h, text) have at two places or more."""
-    bodies = rows.mapInArrow(_chunks(True), "doc_id bigint, h bigint, at int, hash bigint, check bigint, body binary")
+    """doc_id, h, at, hash, check and is_first of each place of ``rows`` (doc_id, h, text) whose hashes another place has too."""
+    places = rows.mapInArrow(_places, "doc_id bigint, h bigint, at bigint, hash bigint, check bigint")
     place = F.struct("doc_id", "h", "at")
-    each = bodies.groupBy("hash", "check", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    # different bytes under one pair of hashes: no way to tell their places apart by it
-    pairs = each.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("bodies"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return pairs.filter((F.col("bodies") == 1) & (F.col("first") != F.col("last"))).select("hash", "check", "first")
+    each = places.groupBy("hash", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
+    return places.join(each, ["hash", "check"]).select("doc_id", "h", "at", "hash", "check", place.eqNullSafe(F.col("first")).alias("is_first"))
 
 
 def deduped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """row (the columns of ``docs`` but text), text, n_lines, n_removed_lines and n_removed_chunks for every row."""
+    """row (the columns of ``docs`` but text), text, n_lines, n_removed_lines and n_removed_chunks (runs of lines) for every row."""
     rest = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"), rest)
-    narrow = rows.select("doc_id", "h", "text")
-    places = narrow.mapInArrow(_chunks(False), "doc_id bigint, h bigint, at int, hash bigint, check bigint")
-    again = places.join(repeated(narrow), ["hash", "check"]).filter(~F.struct("doc_id", "h", "at").eqNullSafe(F.col("first")))
-    again = again.groupBy("doc_id", "h").agg(F.collect_set("at").alias("removed"))  # at most the chunks of one text
-    again = again.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "removed")
-    both = rows.join(again, rows.doc_id.eqNullSafe(again.d) & (rows.h == again.g), "left").select("row", "text", "removed")
+    found = stored(repeated(rows.select("doc_id", "h", "text")), "repeated")
+
+    def with_lists(lists: DataFrame, name: str) -> DataFrame:
+        lists = lists.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), name)  # at most the places of one text
+        return rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.h == lists.g), "left").select("row", "text", name)
+
+    # both joins shuffle the same rows alike, so that they are shuffled once
+    listed = with_lists(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "hash", "check")).alias("places")), "places")
+    bodies = listed.mapInArrow(_bodies, "hash bigint, check bigint, body binary")
+    # different bytes under one pair of hashes: no way to tell their places apart by it
+    clash = bodies.groupBy("hash", "check").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("hash", "check")
+    again = found.filter("not is_first").join(clash, ["hash", "check"], "left_anti")
+    both = with_lists(again.groupBy("doc_id", "h").agg(F.collect_set("at").alias("removed")), "removed")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_removed_lines bigint, n_removed_chunks bigint"
     return both.mapInArrow(_cut, schema)
 
