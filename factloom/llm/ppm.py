@@ -1,17 +1,22 @@
-"""Prediction by partial matching over the bytes of words (operator 2).
+"""Prediction by partial matching over the bytes of texts (operator 2).
 
 A text is a sequence of tokens, its words and one end, in lower case (A-Z). The
 model codes a word byte by byte and then a space, the end as one line feed.
-The context of a byte is up to ORDER bytes before it in its token; an unseen
-byte escapes to the next shorter context, whose counts leave out all that the
-longer one had (symbol exclusion), down to equal shares of what is left of the
-256 bytes. Escapes are estimated as half a count for each distinct symbol.
-
-Contexts don't cross words, so a word's code length is the same wherever it
-stands: it is worked out once for each distinct word of the corpus and joined
-to the documents. The trie is a table of (context, byte) counts over all
-training documents; each context has at most 256 rows, and each order is
-joined to the one below it on its key.
+The context of a byte is up to ORDER bytes before it; an unseen byte escapes to
+the next shorter context, whose counts leave out all that the longer one had
+(symbol exclusion), down to equal shares of what is left of the 256 bytes.
+Escapes are estimated as half a count for each distinct symbol.
+
+``score_texts`` lets contexts cross words: the trie is a table of (context,
+byte) counts over whole training documents, summed in each task before they are
+shuffled; each context has at most 256 rows, and each order is joined to the one
+below it on its key. The table of probabilities goes to the tasks in parts of
+bounded size; each part is one pass over the texts that adds up the bytes whose
+keys it has.
+
+``score`` starts the context anew at each word, so that a word's code length is
+the same wherever it stands: it is worked out once for each distinct word of
+the corpus and joined to the documents.
 
 Tokens are joined by the word. The most frequent words, HEAVY at most, are
 looked up in the tasks instead, so that no frequent word gathers its
@@ -38,6 +43,8 @@ ORDER = 5
 HEAVY = 1 << 18
 #: Rows of the table of probabilities up to which it is sent to the tasks (16 bytes a row); beyond that it is joined.
 SENT_ROWS = 4_000_000
+#: Bytes of texts, and rows of counts, that a task holds at once.
+CHUNK_BYTES, HELD_ROWS = 2_000_000, 4_000_000
 #: Distinct words a task counts before it passes its counts on.
 COUNT_WORDS = 400_000
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -87,10 +94,19 @@ def count_words(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def keys_of(tokens: list[bytes], order: int = ORDER):
     """Each symbol of each token with its context, packed into an integer, and how many symbols each token has."""
-    import numpy as np
+    head = b"\0" * (order - 1) + b" "
+    return _keys([head + t if t == END else head + t + b" " for t in tokens], order)
+
 
+def text_keys(texts: list[bytes], order: int = ORDER):
+    """Each symbol of each text with its context, which crosses words, and how many symbols each text has."""
     head = b"\0" * (order - 1) + b" "
-    coded = [head + t if t == END else head + t + b" " for t in tokens]
+    return _keys([head + b"".join(w + b" " for w in t.lower().split()) + END for t in texts], order)
+
+
+def _keys(coded: list[bytes], order: int):
+    import numpy as np
+
     lengths = np.array([len(c) for c in coded], dtype=np.int64)
     raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
     key = np.zeros(max(0, len(raw) - order), np.int64)
@@ -134,6 +150,103 @@ def count_grams(words: DataFrame, order: int = ORDER) -> DataFrame:
     return words.mapInArrow(_grams(order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _text_chunks(batches):
+    """Lists of doc_id and of text, by CHUNK_BYTES."""
+    import pyarrow as pa
+
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            ids.append(doc)
+            texts.append(text)
+            held += len(text)
+            if held > CHUNK_BYTES:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _text_grams(order: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, counts = [], []
+
+        def summed():
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+            keys[:], counts[:] = [distinct], [total]
+
+        def rows():
+            batch = pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["key", "n"])
+            keys.clear()
+            counts.clear()
+            return batch
+
+        for ids, texts in _text_chunks(batches):
+            key, sizes = text_keys(texts, order)
+            other = np.repeat([is_held_out(i) for i in ids], sizes)
+            distinct, n = np.unique(key[~other], return_counts=True)
+            unseen = np.unique(key[other])
+            keys += [distinct, unseen]
+            counts += [n, np.zeros(len(unseen), np.int64)]
+            if sum(map(len, keys)) > HELD_ROWS:
+                summed()
+                if len(keys[0]) > HELD_ROWS // 2:
+                    yield rows()
+        if keys:
+            summed()
+            yield rows()
+
+    return run
+
+
+def count_text_grams(docs: DataFrame, key: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """key (context and symbol, over whole texts) and n, its count in training documents, for every key that any document has."""
+    return _rows(docs, key).mapInArrow(_text_grams(order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _score_part(sent, part: int, parts: int, order: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        keys, logs = sent.value
+        for ids, texts in _text_chunks(batches):
+            key, sizes = text_keys(texts, order)
+            text = np.repeat(np.arange(len(ids)), sizes)
+            if parts > 1:
+                here = key % parts == part
+                key, text = key[here], text[here]
+            distinct, at = np.unique(key, return_inverse=True)
+            lp = np.bincount(text, logs[np.searchsorted(keys, distinct)][at], len(ids)) if len(key) else np.zeros(len(ids))
+            hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lp)], ["doc_id", "h", "lp"])
+
+    return run
+
+
+def text_scores(docs: DataFrame, probs: DataFrame, key: str = "doc_id", order: int = ORDER, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """doc_id, h and lp: for each row and each part of ``probs``, log10 of the probability of the bytes whose keys are in the part."""
+    import numpy as np
+
+    # odd, so that a key's part depends on all its bytes; parts are near sent_rows
+    parts = 2 * (probs.count() // (2 * sent_rows)) + 1
+    out = None
+    for part in range(parts):
+        got = probs.filter(F.col("key") % parts == part).toArrow()
+        keys, logs = got.column("key").to_numpy(), got.column("lp").to_numpy()
+        by = np.argsort(keys)
+        sent = docs.sparkSession.sparkContext.broadcast((keys[by], logs[by]))
+        sums = stored(_rows(docs, key).mapInArrow(_score_part(sent, part, parts, order), "doc_id bigint, h bigint, lp double"), "scores")
+        sent.unpersist()
+        out = sums if out is None else out.union(sums)
+    return out
+
+
 def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """key and log10 of its symbol's probability in its context."""
 
@@ -266,14 +379,25 @@ def _least_heavy(words: DataFrame, heavy: int) -> int:
 
 
 def score(docs: DataFrame, key: str = "doc_id", order: int = ORDER, heavy: int = HEAVY, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    import numpy as np
-
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, with contexts that end at words."""
     words = stored(count_words(docs, key), "words")
-    sums = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     grams = stored(count_grams(words, order), "grams")
     probs = stored(probabilities(grams, order), "probabilities")
-    scored = stored(score_words(words, probs, order, sent_rows), "scored")
+    return _by_row(docs, key, stored(score_words(words, probs, order, sent_rows), "scored"), heavy)
+
+
+def score_texts(docs: DataFrame, key: str = "doc_id", order: int = ORDER, heavy: int = HEAVY, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """The columns of ``score`` of every row, with contexts that cross words."""
+    words = stored(count_words(docs, key), "words").withColumn("lp", F.lit(0.0))
+    probs = stored(probabilities(stored(count_text_grams(docs, key, order), "grams"), order), "probabilities")
+    return _by_row(docs, key, words, heavy, text_scores(docs, probs, key, order, sent_rows))
+
+
+def _by_row(docs: DataFrame, key: str, scored: DataFrame, heavy: int, more: DataFrame | None = None) -> DataFrame:
+    """Sums over each row's words by ``scored`` (word, n, lp), and of ``more`` (doc_id, h, lp)."""
+    import numpy as np
+
+    sums = scored.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = scored.filter(F.col("n") >= _least_heavy(scored, heavy)).toArrow()
     counts = top.column("n").to_numpy()
     table = (top.column("word").to_pylist(), np.log10(counts + 1.0), (counts > 0).astype(np.int64), top.column("lp").to_numpy())
@@ -282,6 +406,8 @@ def score(docs: DataFrame, key: str = "doc_id", order: int = ORDER, heavy: int =
     tokens = _rows(docs, key).mapInArrow(_tokens(sent, uuid.uuid4().hex), schema)
     rare = scored.select(F.col("word"), F.col("n").alias("c"), F.col("lp").alias("word_lp"))
     found = tokens.join(rare, "word", "left")
+    if more is not None:
+        found = found.unionByName(more, allowMissingColumns=True)
     plus = lambda own, more: F.sum(F.coalesce(F.col(own), F.lit(0)) + F.coalesce(more, F.lit(0)))
     by_doc = found.groupBy("doc_id", "h").agg(
         F.count("n_tokens").alias("rows"),

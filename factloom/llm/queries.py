@@ -25,7 +25,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
