@@ -223,31 +223,6 @@ def test_longer_contexts_help_held_out_words(spark):
     assert ppm_score(trained, held, 3) > ppm_score(trained, held, 0)
 
 
-def test_fingerprints_align_shifted_recordings(frame, monkeypatch):
-    monkeypatch.setattr(chroma, "QUERY_STEP", 10)
-    draw = np.random.default_rng(5)
-    words = ["".join(draw.choice([*"abcdefghijklmnop"], 6)) for _ in range(900)]
-    song, other = " ".join(words[:500]), " ".join(words[500:])
-    changed = " ".join([*words[40:300], "changed", *words[301:500]])
-    got = {r.doc_id: r for r in chroma.search(frame([(10, song, "s"), (11, changed, "s"), (12, other, "s"), (13, song, "s"), (14, "short", "s"), (15, None, "s")])).collect()}
-    assert got[11].n_links == 1 and got[11].best_query == 10 and got[11].best_offset == 40 and got[11].bit_error < 0.1
-    assert got[13].class_id == 10 and got[12].n_links == got[14].n_links == got[10].n_links == 0
-
-
-def test_sound_keeps_its_print_when_cut(frame):
-    rate, draw = 11025, np.random.default_rng(2)
-    notes = draw.choice([220, 247, 262, 294, 330, 349, 392, 440], 40)
-    sound = np.concatenate([np.sin(2 * np.pi * f * np.arange(rate // 2) / rate) for f in notes])
-    whole, cut = chroma.pack(chroma.from_sound(sound)), chroma.pack(chroma.from_sound(sound[1365 * 20 :]))
-    assert np.array_equal(whole[20 : 20 + len(cut)], cut)
-    noisy = chroma.pack(chroma.from_sound(sound + 0.02 * draw.standard_normal(len(sound))))
-    assert np.bitwise_count(whole ^ noisy).mean() / 32 < 0.15 < np.bitwise_count(whole[:-50] ^ whole[50:]).mean() / 32
-
-
-def test_search_of_hard_rows(clashing):
-    assert chroma.search(clashing).count() == clashing.count()
-
-
 def test_pipeline(spark, frame, tmp_path):
     import corpus_pipeline
 
