@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.plans.storage import broadcast_if_small, new_path, shared_dir, stored
 
-__all__ = ["SPACE", "broadcast_if_small", "first_of_repeats", "let", "new_path", "shared_dir", "stored", "table", "whole_text", "with_keys", "words"]
+__all__ = ["SPACE", "broadcast_if_small", "column", "first_of_repeats", "let", "new_path", "shared_dir", "stored", "table", "whole_text", "with_keys", "words"]
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"[ \t-\r]+"
@@ -21,6 +21,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def column(name: str, of: str = "") -> Column:
+    """The column ``name``, or the field of that name in the struct column ``of``, whatever characters the name has."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string")
@@ -35,7 +41,7 @@ def with_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Rows that agree in k and h are the same row repeated.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [column(c) for c in docs.columns]
     k = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
     return docs.select(F.struct(*columns).alias("row"), k.alias("k"), F.xxhash64(*columns).alias("h"))
 

@@ -10,8 +10,8 @@ consecutive lines, are removed if the run has MIN_WORDS words or more. A run
 thus has two lines or more, or is one long line. Each line that goes has an
 equal one that stays: the first place is before all others.
 
-Equal windows are found by hash and compared as bytes: a pair of hashes under
-which two different byte strings meet removes nothing.
+Equal windows are found by hash and compared as bytes: where two different byte
+strings meet under a pair of hashes, the first place of each string stays.
 
 Defined cases: a null text stays null; an empty text has one empty line, which
 is in no run; an empty line is a line, so that a line and an empty one after it
@@ -25,8 +25,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored
+from .common import broadcast_if_small, column, stored
 
 WINDOW = 2
 LONG_WORDS = 50
@@ -36,16 +37,6 @@ BATCH_ROWS = 1000
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-def chunks_of(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, words) of each chunk: a line each, so that no chunk holds lines of a passage and of what is around it."""
-    return [(i, i + 1, len(line.split())) for i, line in enumerate(lines)]
-
-
-def _counts(lines: list[bytes], chunk: tuple[int, int, int]) -> bool:
-    """Whether a repeated chunk, or a run of them, has the words to be removed."""
-    return chunk[2] >= MIN_WORDS
-
-
 def places_of(lines: list[bytes]):
     """The place and two hashes of every window and every long line; a window from line i has the place 2 i, a long line 2 i + 1."""
     import numpy as np
@@ -76,7 +67,7 @@ def runs_of(lines: list[bytes], places) -> list[tuple[int, int, int]]:
             spans.append([i, i + WINDOW])
     spans += [[at // 2, at // 2 + 1] for at in places if at % 2]
     runs = [(a, b, sum(len(line.split()) for line in lines[a:b])) for a, b in spans]
-    return [r for r in runs if _counts(lines, r)]
+    return [r for r in runs if r[2] >= MIN_WORDS]
 
 
 def _slices(batches):
@@ -101,15 +92,18 @@ def _places(batches):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "at", "hash", "check"])
 
 
+BODY = "doc_id bigint, h bigint, at bigint, hash bigint, check bigint, body binary"
+
+
 def _bodies(batches):
     import pyarrow as pa
 
-    schema = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("body", pa.binary())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "h", "at", "hash", "check")), ("body", pa.binary())])
     for batch in _slices(batches):
         out, held = [], 0
-        for lines, places in zip(_lines(batch), batch.column("places").to_pylist(), strict=True):
+        for doc, h, lines, places in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), _lines(batch), batch.column("places").to_pylist(), strict=True):
             for place in places or ():
-                out.append({"hash": place["hash"], "check": place["check"], "body": _body(lines, place["at"])})
+                out.append(place | {"doc_id": doc, "h": h, "body": _body(lines, place["at"])})
                 held += len(out[-1]["body"])
             if held > 8_000_000:
                 yield pa.RecordBatch.from_pylist(out, schema)
@@ -141,26 +135,34 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 def deduped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """row (the columns of ``docs`` but text), text, n_lines, n_removed_lines and n_removed_chunks (runs of lines) for every row."""
-    rest = F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"), rest)
+    # a struct needs a field; one longer than any other clashes with none
+    some = F.lit(True).alias("_" * (1 + max(map(len, docs.columns))))
+    rest = F.struct(some, *(column(c) for c in docs.columns if c != "text")).alias("row")
+    rows = docs.select(column(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"), rest)
     found = stored(repeated(rows.select("doc_id", "h", "text")), "repeated")
 
     def with_lists(lists: DataFrame, name: str) -> DataFrame:
         lists = lists.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), name)  # at most the places of one text
-        return rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.h == lists.g), "left").select("row", "text", name)
+        return rows.join(lists, rows.doc_id.eqNullSafe(lists.d) & (rows.h == lists.g), "left").select("row", "doc_id", "h", "text", name)
 
     # both joins shuffle the same rows alike, so that they are shuffled once
     listed = with_lists(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("at", "hash", "check")).alias("places")), "places")
-    bodies = listed.mapInArrow(_bodies, "hash bigint, check bigint, body binary")
-    # different bytes under one pair of hashes: no way to tell their places apart by it
+    bodies = listed.drop("row").mapInArrow(_bodies, BODY)
     clash = bodies.groupBy("hash", "check").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("hash", "check")
-    again = found.filter("not is_first").join(clash, ["hash", "check"], "left_anti")
+    clash = broadcast_if_small(stored(clash, "clashes"))
+    again = found.filter("not is_first").join(clash, ["hash", "check"], "left_anti").select("doc_id", "h", "at")
+    if clash.limit(1).count():
+        # different bytes under one pair of hashes: places are told apart by the bytes
+        place = F.struct("doc_id", "h", "at")
+        each = bodies.join(clash, ["hash", "check"], "left_semi").select("doc_id", "h", "at", "body").distinct()
+        first = each.groupBy("body").agg(F.min(place).alias("first"))
+        again = again.union(each.join(first, "body").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "h", "at"))
     both = with_lists(again.groupBy("doc_id", "h").agg(F.collect_set("at").alias("removed")), "removed")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_removed_lines bigint, n_removed_chunks bigint"
-    return both.mapInArrow(_cut, schema)
+    schema = StructType([rows.schema["row"], rows.schema["text"], *(StructField(c, LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks"))])
+    return both.select("row", "text", "removed").mapInArrow(_cut, schema)
 
 
 def dedup_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without repeated chunks, in the same columns."""
     made = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("bigint"), F.lit(0))}
-    return deduped(docs, key).select(*((made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return deduped(docs, key).select(*((made[c] if c in made else column(c, "row")).alias(c) for c in docs.columns))

@@ -3,11 +3,16 @@
 Each source's documents, in a pseudorandom order, are a stream of words that
 is cut into blocks of fixed length. A source's target in words makes whole
 passes over its blocks and one pass over a part of them, whose last block may
-be cut short, so that exactly the target is taken. All slots of the mix, one
-for each block that is taken, are dealt to output shards by a pseudorandom
-permutation: a shard's counts by source are multinomial draws given the exact
-totals. A source's slot finds its block by the source's own permutation of
-block indexes, and blocks join documents by index.
+be cut short, so that exactly the target is taken. The mix has a slot for each
+block that is taken, SHARD_SLOTS in an output shard. Every slot draws a source
+by the share of the sources' blocks, so that a shard's counts by source are a
+multinomial draw. Counts over the shards before number a source's slots. Over
+all shards the draws miss a source's number of blocks by about its square root:
+sources drawn too often give slots that their own permutation chooses to those
+drawn too seldom, so that each takes its target exactly. A source's slot finds
+its block by a pseudorandom permutation of the block indexes for each source
+and pass (swap-or-not: round by round an index and its mirror image change
+places or not), and blocks join documents by index.
 
 Sources by code point, null last, weigh 5, 2, 1, repeating. Targets share the
 whole size by weight; one that passes MAX_PASSES times its source's size stops
@@ -25,7 +30,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, first_of_repeats, let, stored, whole_text, with_keys, words
+from factloom.plans.ranks import running_total
+
+from .common import broadcast_if_small, column, first_of_repeats, let, stored, whole_text, with_keys, words
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -34,35 +41,29 @@ SHARD_SLOTS = 1024
 SEED = 7
 #: Documents of one source in a bucket within which places in the stream are summed.
 BUCKET_ROWS = 2_000
-#: Slots in a chunk by which slots and sources are joined.
-CHUNK_SLOTS = 1 << 14
-#: Primes for the permutations of blocks: none divides a number of blocks below it.
-_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+#: Slots in a chunk by which slots and sources are joined, and shards in a group by which counts are summed.
+CHUNK_SLOTS, GROUP_SHARDS = 1 << 14, 1 << 10
+#: Rounds of a permutation.
+ROUNDS = 32
 
 
 def sources(rows: DataFrame) -> DataFrame:
     """One row per source: sid, source, source_size, n_docs, weight, target. ``rows`` has source and size."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("sid") - 1) % len(WEIGHTS) + 1).cast("int"))
-    cap = (MAX_PASSES * F.col("source_size")).cast("double")
+    named = totals.withColumn("order", F.struct(F.col("source").isNull().alias("last"), "source")).withColumn("one", F.lit(1))
+    named = running_total(named, "order", "one", "sid").drop("order", "one")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("sid") % len(WEIGHTS) + 1).cast("int"))
     # those that stop do so in the order of cap by weight; one stops if its share of what is left at its turn reaches its cap
-    turn = Window.orderBy(F.col("cap") / F.col("weight"), "sid")
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    all_ = F.sum("source_size").over(every)
-    caps_before = F.coalesce(F.sum("cap").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    weights_from = F.sum("weight").over(turn.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    stops = (F.col("all") - F.col("caps_before")) * F.col("weight") >= F.col("cap") * F.col("weights_from")
-    left = F.col("all") - F.coalesce(F.sum(F.when(F.col("stops"), F.col("cap"))).over(every), F.lit(0.0))
-    share = left * F.col("weight") / F.sum(F.when(~F.col("stops"), F.col("weight"))).over(every)
-    return (
-        totals.withColumn("sid", rank)
-        .withColumns({"weight": weight, "cap": cap})
-        .withColumns({"all": all_, "caps_before": caps_before, "weights_from": weights_from})
-        .withColumn("stops", stops)
-        .withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(share))
-        .select("sid", "source", "source_size", "n_docs", "weight", "target")
-    )
+    turns = named.withColumns({"weight": weight, "cap": MAX_PASSES * F.col("source_size")}).withColumn("turn", F.struct(F.col("cap") / F.col("weight"), "sid"))
+    turns = running_total(running_total(turns, "turn", "cap", "caps_before"), "turn", "weight", "weights_before")
+    turns = stored(turns.drop("turn"), "turns")
+    all_ = turns.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    stops = (all_["size"] - F.col("caps_before")).cast("double") * F.col("weight") >= F.col("cap").cast("double") * (all_["weight"] - F.col("weights_before"))
+    left = turns.filter(~stops).agg(F.sum("weight")).first()[0] or 1
+    spent = turns.filter(stops).agg(F.sum("cap")).first()[0] or 0
+    share = F.lit(float(all_["size"] - spent)) * F.col("weight") / left
+    target = F.when(stops, F.col("cap").cast("double")).otherwise(share)
+    return turns.select((F.col("sid") + 1).alias("sid"), "source", "source_size", "n_docs", "weight", target.alias("target"))
 
 
 def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -86,42 +87,71 @@ def segments(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return cut.select("sid", "block", "at", (low - F.col("block") * block).alias("off"), (high - low).alias("n"), (low - F.col("at")).alias("start"))
 
 
-def _scattered(j: Column, bits: int, seed: int) -> Column:
-    """A permutation of the integers of so many bits; products stay within 62 bits."""
-    mask, wide = (1 << bits) - 1, min(31, 62 - bits)
-    for i, c in enumerate((0x45D9F3B1, 0x27D4EB2D, 0x165667B1)):
-        factor = ((c ^ (seed * 0x9E3779B1)) & ((1 << wide) - 1)) | 1
-        j = (j * F.lit(factor).cast("bigint") + F.lit((seed + i) * 0x1F123BB5 & mask).cast("bigint")).bitwiseAND(F.lit(mask).cast("bigint"))
-        j = j.bitwiseXOR(F.shiftright(j, max(1, bits // 2)))
-    return j
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """A pseudorandom permutation of 0 to ``n`` - 1, another for each ``key``: swap-or-not, whose rounds are their own inverses."""
+    n = F.greatest(n, F.lit(1)).cast("bigint")
+
+    def turn(at: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(r, *key), n) - at, n)
+        swaps = F.xxhash64(r, F.greatest(at, mirror), F.lit(SEED), *key).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.when(swaps, mirror).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("bigint"), turn)
+
+
+def _by_range(rows: DataFrame, at: str, ranges: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the row of ``ranges`` whose ``first`` .. ``first`` + ``name`` - 1 holds ``at``; ranges are joined by chunks."""
+    last = F.col("first") + F.col(name) - 1
+    chunked = ranges.filter(F.col(name) > 0).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / CHUNK_SLOTS), F.floor(last / CHUNK_SLOTS))))
+    mine = (F.col(at) >= F.col("first")) & (F.col(at) <= last)
+    return rows.withColumn("chunk", F.floor(F.col(at) / CHUNK_SLOTS)).join(broadcast_if_small(chunked), "chunk").filter(mine).drop("chunk")
+
+
+def draws(known: DataFrame, total: int, seed: int = SEED) -> DataFrame:
+    """shard, sid and count: how many of each shard's slots, SHARD_SLOTS but in the last, draw each source of ``known`` (sid, first, n_slots)."""
+    slot = known.sparkSession.range(total).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("x"))
+    return _by_range(slot, "x", known.select("sid", "first", "n_slots"), "n_slots").groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("count"))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """``counts`` (shard, sid, count) with ``before``, the source's count in the shards before; summed by groups of shards first."""
+    grouped = counts.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    sums = grouped.groupBy("sid", "group").agg(F.sum("count").alias("n"))
+    earlier = lambda value, w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("sid", "group", earlier("n", Window.partitionBy("sid").orderBy("group")).alias("earlier"))
+    within = grouped.withColumn("within", earlier("count", Window.partitionBy("sid", "group").orderBy("shard")))
+    return within.join(sums, ["sid", "group"]).select("shard", "sid", "count", (F.col("earlier") + F.col("within")).alias("before"))
 
 
 def slots(known: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """A row for each block that the mix takes: shard, sid, epoch, block and ``words``, how many of its first words."""
-    spark = known.sparkSession
     words_, size = F.col("words"), F.col("source_size")
     each = known.filter("source_size > 0").withColumn("words", F.round("target").cast("bigint"))
     per_pass = F.ceil(size / block)
     n_slots = F.floor(words_ / size) * per_pass + F.ceil((words_ % size) / block)
-    each = each.withColumns({"per_pass": per_pass, "n_slots": n_slots})
-    first = F.sum("n_slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_slots")
-    each = stored(each.withColumn("first", first).select("sid", "source_size", "words", "per_pass", "n_slots", "first"), "sources")
+    each = running_total(each.withColumns({"per_pass": per_pass, "n_slots": n_slots}), "sid", "n_slots", "first")
+    each = stored(each.select("sid", "source_size", "words", "per_pass", "n_slots", "first"), "sources")
     total = each.agg(F.sum("n_slots")).first()[0] or 0
-    bits = max(1, int(total).bit_length())
-    shard_bits = max(0, bits - (SHARD_SLOTS - 1).bit_length())
-    dealt = spark.range(1 << bits).select(F.shiftright("id", bits - shard_bits).alias("shard"), _scattered(F.col("id"), bits, seed).alias("x")).filter(F.col("x") < total)
-    chunked = each.filter("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first") / CHUNK_SLOTS), F.floor((F.col("first") + F.col("n_slots") - 1) / CHUNK_SLOTS))))
-    mine = (F.col("x") >= F.col("first")) & (F.col("x") < F.col("first") + F.col("n_slots"))
-    found = dealt.withColumn("chunk", F.floor(F.col("x") / CHUNK_SLOTS)).join(broadcast_if_small(chunked), "chunk").filter(mine)
-    k = F.col("x") - F.col("first")
-    found = found.select("shard", "sid", "source_size", "words", F.floor(k / F.col("per_pass")).alias("epoch"), (k % F.col("per_pass")).alias("i"))
-    full = F.floor(F.col("source_size") / block)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "sid", "epoch"), F.lit(len(_PRIMES))).cast("int")
-    prime = F.element_at(F.array(*(F.lit(p).cast("bigint") for p in _PRIMES)), draw + 1)
-    shift = F.pmod(F.xxhash64(F.lit(seed + 1), "sid", "epoch"), F.greatest(full, F.lit(1)))
+    counts = stored(draws(each, total, seed), "draws")
+    drawn = counts.groupBy("sid").agg(F.sum("count").alias("drawn"))
+    each = each.join(drawn, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    # places among all slots that were drawn too often, and among all that are wanting
+    each = each.withColumns({"over": F.greatest(F.col("drawn") - F.col("n_slots"), F.lit(0)), "wanting": F.greatest(F.col("n_slots") - F.col("drawn"), F.lit(0))})
+    each = stored(running_total(running_total(each.drop("first"), "sid", "over", "over_before"), "sid", "wanting", "first"), "sources")
+    mine = broadcast_if_small(each.select("sid", "n_slots", "drawn", "over_before"))
+    found = numbered(counts).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1))).join(mine, "sid")
+    number = F.col("before") + F.col("i")
+    number = F.when(F.col("drawn") > F.col("n_slots"), permuted(number, F.col("drawn"), F.lit(seed), F.col("sid"))).otherwise(number)
+    found = found.select("shard", "sid", number.alias("number"), "n_slots", "over_before")
+    moved = found.filter("number >= n_slots").select("shard", (F.col("over_before") + F.col("number") - F.col("n_slots")).alias("x"))
+    moved = _by_range(moved, "x", each.select("sid", "drawn", "first", "wanting"), "wanting").select("shard", "sid", (F.col("drawn") + F.col("x") - F.col("first")).alias("number"))
+    found = found.filter("number < n_slots").select("shard", "sid", "number").union(moved)
+    found = found.join(broadcast_if_small(each.select("sid", "source_size", "words", "per_pass")), "sid")
+    found = found.select("shard", "sid", "source_size", "words", F.floor(F.col("number") / F.col("per_pass")).alias("epoch"), (F.col("number") % F.col("per_pass")).alias("i"))
+    full = F.floor(size / block)
     # the short block at a source's end comes last in each pass
-    index = F.when(F.col("i") < full, (F.col("i") * (prime % F.greatest(full, F.lit(1))) + shift) % F.greatest(full, F.lit(1))).otherwise(full)
-    rest = F.col("words") - F.col("epoch") * F.col("source_size") - F.col("i") * block
+    index = F.when(F.col("i") < full, permuted(F.col("i"), full, F.lit(seed + 1), F.col("sid"), F.col("epoch"))).otherwise(full)
+    rest = words_ - F.col("epoch") * size - F.col("i") * block
     return found.select("shard", "sid", "epoch", index.alias("block"), F.least(F.lit(block).cast("bigint"), rest).alias("words"))
 
 
@@ -160,4 +190,4 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     out = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(F.regexp_replace(some, r"[ \t-\r]+$", ""))
     found = found.select("row", out.alias("new_text"))
     made = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("bigint")}
-    return found.select(*((made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return found.select(*((made[c] if c in made else column(c, "row")).alias(c) for c in docs.columns))

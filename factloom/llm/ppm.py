@@ -10,9 +10,9 @@ Escapes are estimated as half a count for each distinct symbol.
 ``score_texts`` lets contexts cross words: the trie is a table of (context,
 byte) counts over whole training documents, summed in each task before they are
 shuffled; each context has at most 256 rows, and each order is joined to the one
-below it on its key. The table of probabilities goes to the tasks in parts of
-bounded size; each part is one pass over the texts that adds up the bytes whose
-keys it has.
+below it on its key. The most frequent keys go to the tasks with their
+probabilities, SENT_ROWS at most; a text sends out its other keys with their
+counts, and these are joined to the table. One pass over the texts does it.
 
 ``score`` starts the context anew at each word, so that a word's code length is
 the same wherever it stands: it is worked out once for each distinct word of
@@ -41,10 +41,12 @@ from .common import stored, whole_text
 ORDER = 5
 #: The most words to look up in tasks rather than join.
 HEAVY = 1 << 18
-#: Rows of the table of probabilities up to which it is sent to the tasks (16 bytes a row); beyond that it is joined.
+#: The most bytes of such a word.
+HEAVY_BYTES = 256
+#: Rows of the table of probabilities that are sent to the tasks (16 bytes a row); the others are joined.
 SENT_ROWS = 4_000_000
-#: Bytes of texts, and rows of counts, that a task holds at once.
-CHUNK_BYTES, HELD_ROWS = 2_000_000, 4_000_000
+#: Bytes of texts, texts, and rows of counts, that a task holds at once.
+CHUNK_BYTES, CHUNK_TEXTS, HELD_ROWS = 2_000_000, 1 << 15, 4_000_000
 #: Distinct words a task counts before it passes its counts on.
 COUNT_WORDS = 400_000
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -160,7 +162,7 @@ def _text_chunks(batches):
             ids.append(doc)
             texts.append(text)
             held += len(text)
-            if held > CHUNK_BYTES:
+            if held > CHUNK_BYTES or len(ids) == CHUNK_TEXTS:
                 yield ids, texts
                 ids, texts, held = [], [], 0
     if ids:
@@ -208,47 +210,71 @@ def count_text_grams(docs: DataFrame, key: str = "doc_id", order: int = ORDER) -
     return _rows(docs, key).mapInArrow(_text_grams(order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _score_part(sent, part: int, parts: int, order: int):
+def _least_frequent(grams: DataFrame, most: int) -> int:
+    """The least count from which on there are at most ``most`` rows, by steps of a twelfth of an octave, of which there are at most 800."""
+    step = F.floor(F.log2("n") * 12)
+    rows = grams.filter("n > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, total = 1 << 62, 0
+    for row in rows:
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["n"]
+    return least
+
+
+def _score_keys(sent, order: int):
+    """For each text a row with the sum over the keys that were sent, and a row for each other key with its count in the text."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
         keys, logs = sent.value
+        names = ["doc_id", "h", "key", "count", "lp"]
         for ids, texts in _text_chunks(batches):
             key, sizes = text_keys(texts, order)
             text = np.repeat(np.arange(len(ids)), sizes)
-            if parts > 1:
-                here = key % parts == part
-                key, text = key[here], text[here]
             distinct, at = np.unique(key, return_inverse=True)
-            lp = np.bincount(text, logs[np.searchsorted(keys, distinct)][at], len(ids)) if len(key) else np.zeros(len(ids))
-            hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lp)], ["doc_id", "h", "lp"])
+            place = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
+            known = keys[place] == distinct if len(keys) else np.zeros(len(distinct), bool)
+            each = np.where(known, logs[place] if len(keys) else 0.0, 0.0)
+            lp = np.bincount(text, each[at], len(ids))
+            other = ~known[at]
+            rare, count = np.unique((at[other] << 15) | text[other], return_counts=True)  # CHUNK_TEXTS is 2 ** 15 at most
+            hashes = np.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], np.int64)
+            docs, of = pa.array(ids, pa.int64()), rare & (1 << 15) - 1
+            # a text's own row has a key that no byte has, another one in each text
+            columns = [docs, pa.array(hashes), pa.array(-1 - np.abs(hashes >> 1)), pa.array(np.ones(len(ids), np.int64)), pa.array(lp)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [docs.take(pa.array(of)), pa.array(hashes[of]), pa.array(distinct[rare >> 15]), pa.array(count), pa.array(np.zeros(len(rare)))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def text_scores(docs: DataFrame, probs: DataFrame, key: str = "doc_id", order: int = ORDER, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """doc_id, h and lp: for each row and each part of ``probs``, log10 of the probability of the bytes whose keys are in the part."""
+def text_scores(docs: DataFrame, grams: DataFrame, probs: DataFrame, key: str = "doc_id", order: int = ORDER, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """doc_id, h and lp, rows that add up to log10 of the probability of each text.
+
+    The most frequent keys, ``sent_rows`` at most, go to the tasks; the others
+    are joined, so that no key of the join is frequent.
+    """
     import numpy as np
 
-    # odd, so that a key's part depends on all its bytes; parts are near sent_rows
-    parts = 2 * (probs.count() // (2 * sent_rows)) + 1
-    out = None
-    for part in range(parts):
-        got = probs.filter(F.col("key") % parts == part).toArrow()
-        keys, logs = got.column("key").to_numpy(), got.column("lp").to_numpy()
-        by = np.argsort(keys)
-        sent = docs.sparkSession.sparkContext.broadcast((keys[by], logs[by]))
-        sums = stored(_rows(docs, key).mapInArrow(_score_part(sent, part, parts, order), "doc_id bigint, h bigint, lp double"), "scores")
-        sent.unpersist()
-        out = sums if out is None else out.union(sums)
-    return out
+    least = _least_frequent(grams, sent_rows)
+    got = probs.filter(F.col("n") >= least).select("key", "lp").toArrow()
+    keys, logs = got.column("key").to_numpy(), got.column("lp").to_numpy()
+    by = np.argsort(keys)
+    sent = docs.sparkSession.sparkContext.broadcast((keys[by], logs[by]))
+    rows = _rows(docs, key).mapInArrow(_score_keys(sent, order), "doc_id bigint, h bigint, key bigint, count bigint, lp double")
+    rare = probs.filter(F.col("n") < least).select("key", F.col("lp").alias("rare"))
+    lp = F.col("lp") + F.coalesce(F.col("count") * F.col("rare"), F.lit(0.0))
+    return rows.join(rare, "key", "left").select("doc_id", "h", lp.alias("lp"))
 
 
 def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """key and log10 of its symbol's probability in its context."""
+    """key, its count, and log10 of its symbol's probability in its context."""
 
     def level(j: int) -> DataFrame:
         return grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
@@ -271,7 +297,7 @@ def probabilities(grams: DataFrame, order: int = ORDER) -> DataFrame:
         below = rows.select("key", "n", "t", "d", escaped.alias("escaped"))
     seen = (2 * F.col("n") - 1) / (2 * F.col("t"))
     p = F.when(F.col("n") > 0, seen).when(F.col("t") > 0, F.col("d") / (2 * F.col("t")) * F.col("escaped")).otherwise(F.col("escaped"))
-    return below.select("key", F.log10(p).alias("lp"))
+    return below.select("key", "n", F.log10(p).alias("lp"))
 
 
 def _score_sent(sent, order: int):
@@ -308,13 +334,13 @@ def score_words(words: DataFrame, probs: DataFrame, order: int = ORDER, sent_row
     import numpy as np
 
     if probs.limit(sent_rows + 1).count() <= sent_rows:
-        got = probs.toArrow()
+        got = probs.select("key", "lp").toArrow()
         keys, logs = got.column("key").to_numpy(), got.column("lp").to_numpy()
         by = np.argsort(keys)
         sent = words.sparkSession.sparkContext.broadcast((keys[by], logs[by]))
         return words.mapInArrow(_score_sent(sent, order), "word binary, n bigint, lp double")
     each = words.mapInArrow(_explode_keys(order), "word binary, n bigint, key bigint")
-    return each.join(probs, "key").groupBy("word").agg(F.first("n").alias("n"), F.sum("lp").alias("lp"))
+    return each.join(probs.select("key", "lp"), "key").groupBy("word").agg(F.first("n").alias("n"), F.sum("lp").alias("lp"))
 
 
 def _tokens(heavy, run_id: str):
@@ -366,18 +392,6 @@ def _tokens(heavy, run_id: str):
     return run
 
 
-def _least_heavy(words: DataFrame, heavy: int) -> int:
-    """The least count from which on there are at most ``heavy`` words, by the number of words of each count."""
-    by_count = words.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(heavy + 1).collect()
-    least, total = 1 << 62, 0
-    for row in by_count:
-        total += row["words"]
-        if total > heavy:
-            break
-        least = row["n"]
-    return least
-
-
 def score(docs: DataFrame, key: str = "doc_id", order: int = ORDER, heavy: int = HEAVY, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, with contexts that end at words."""
     words = stored(count_words(docs, key), "words")
@@ -389,8 +403,9 @@ def score(docs: DataFrame, key: str = "doc_id", order: int = ORDER, heavy: int =
 def score_texts(docs: DataFrame, key: str = "doc_id", order: int = ORDER, heavy: int = HEAVY, sent_rows: int = SENT_ROWS) -> DataFrame:
     """The columns of ``score`` of every row, with contexts that cross words."""
     words = stored(count_words(docs, key), "words").withColumn("lp", F.lit(0.0))
-    probs = stored(probabilities(stored(count_text_grams(docs, key, order), "grams"), order), "probabilities")
-    return _by_row(docs, key, words, heavy, text_scores(docs, probs, key, order, sent_rows))
+    grams = stored(count_text_grams(docs, key, order), "grams")
+    probs = stored(probabilities(grams, order), "probabilities")
+    return _by_row(docs, key, words, heavy, text_scores(docs, grams, probs, key, order, sent_rows))
 
 
 def _by_row(docs: DataFrame, key: str, scored: DataFrame, heavy: int, more: DataFrame | None = None) -> DataFrame:
@@ -398,7 +413,7 @@ def _by_row(docs: DataFrame, key: str, scored: DataFrame, heavy: int, more: Data
     import numpy as np
 
     sums = scored.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = scored.filter(F.col("n") >= _least_heavy(scored, heavy)).toArrow()
+    top = scored.filter((F.col("n") >= _least_frequent(scored, heavy)) & (F.length("word") <= HEAVY_BYTES)).toArrow()
     counts = top.column("n").to_numpy()
     table = (top.column("word").to_pylist(), np.log10(counts + 1.0), (counts > 0).astype(np.int64), top.column("lp").to_numpy())
     sent = docs.sparkSession.sparkContext.broadcast(table)

@@ -1,8 +1,11 @@
 """Document quality rules with verdicts per host (operator 8).
 
-All of it is DataFrame functions. A document fails a rule by its own text;
-a host fails when the share of its documents that fail, shrunk towards the
-corpus by a beta prior fitted to all hosts, passes a threshold.
+All of it is DataFrame functions. A document fails a rule by its own text. For
+each rule, the share of a host's documents that fail it is shrunk towards the
+corpus by a beta prior fitted to all hosts. A host is rejected when a rule's
+shrunk rate is more than DEVIATIONS of the prior's standard deviations above
+the prior's mean, that is when it fails as a host of this corpus hardly would,
+or above MAX_HOST_RATE however much the hosts differ.
 
 Defined cases: a null or empty text has no words and fails; a null host is a
 host of its own; repeated rows each count and each get a verdict; an empty
@@ -12,18 +15,20 @@ by ``judged`` and ignored by ``measure``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, stored, whole_text, words
+from .common import broadcast_if_small, column, let, stored, whole_text, words
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.6
-#: Bounds of the fitted prior's weight, in documents.
-MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
+#: A host is rejected when a shrunk rate is more than so many deviations of the prior above its mean, or above this rate.
+DEVIATIONS, MAX_HOST_RATE = 4.0, 0.6
+#: Bounds of the fitted prior's weight, in documents; the upper one keeps hosts that differ little from others.
+MIN_PRIOR, MAX_PRIOR = 2.0, 100.0
 
 
 def repeat_words(tokens: Column, window: int = WINDOW) -> Column:
@@ -69,8 +74,13 @@ def measures(text: Column) -> Column:
     return let(words(text), of_words)
 
 
+def rules() -> dict[str, Column]:
+    """What fails a document, by the rule's name."""
+    return {"short": F.col("n_words") < MIN_WORDS, "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")}
+
+
 def failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return reduce(lambda a, b: a | b, rules().values())
 
 
 def measure(docs: DataFrame, host: str = "source", key: str = "doc_id") -> DataFrame:
@@ -81,30 +91,33 @@ def measure(docs: DataFrame, host: str = "source", key: str = "doc_id") -> DataF
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """One row per host: documents, failures of each rule, shrunk failure rate and verdict.
+    """One row per host: documents, and each rule's failures, shrunk rate and bound (n_, rate_ and most_ with its name); host_rejected.
 
-    The prior is fitted by moments to the hosts' rates: its mean is the mean
-    over hosts and its weight is what the spread between hosts leaves after
-    the spread that counting alone explains.
+    A prior is fitted to a rule by moments of the hosts' rates: its mean is the
+    mean over hosts and its weight is what the spread between hosts leaves
+    after the spread that counting alone explains.
     """
-    hosts = measured.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.count_if(F.col("n_words") < MIN_WORDS).alias("n_short"),
-        F.count_if(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")).alias("n_repetitive"),
-        F.count_if("base_failed").alias("n_failed"),
-    )
-    rate = F.col("n_failed") / F.col("n_docs")
-    fitted = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("per_doc")).first()
-    mean = fitted["mean"] or 0.0
-    extra = (fitted["var"] or 0.0) - mean * (1 - mean) * (fitted["per_doc"] or 0.0)
-    weight = min(MAX_PRIOR, max(MIN_PRIOR, mean * (1 - mean) / extra - 1)) if extra > 0 else MAX_PRIOR
-    shrunk = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > MAX_HOST_RATE)
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.count_if(rule).alias(f"n_{name}") for name, rule in rules().items()))
+    hosts = stored(hosts, "hosts")
+    share = {name: F.col(f"n_{name}") / F.col("n_docs") for name in rules()}
+    moments = [f(x).alias(f"{what}_{name}") for name, x in share.items() for what, f in (("mean", F.avg), ("var", F.var_pop))]
+    fitted = hosts.agg(F.avg(1 / F.col("n_docs")).alias("per_doc"), *moments).first()
+    bad = F.lit(False)
+    for name in rules():
+        mean = fitted[f"mean_{name}"] or 0.0
+        spread = mean * (1 - mean)
+        extra = (fitted[f"var_{name}"] or 0.0) - spread * (fitted["per_doc"] or 0.0)
+        weight = min(MAX_PRIOR, max(MIN_PRIOR, spread / extra - 1)) if extra > 0 else MAX_PRIOR
+        rate = (F.col(f"n_{name}") + mean * weight) / (F.col("n_docs") + weight)
+        most = min(MAX_HOST_RATE, mean + DEVIATIONS * (spread / (weight + 1)) ** 0.5)
+        hosts = hosts.withColumns({f"rate_{name}": rate, f"most_{name}": F.lit(most)})
+        bad |= F.col(f"rate_{name}") > F.col(f"most_{name}")
+    return hosts.withColumn("host_rejected", bad)
 
 
 def judged(docs: DataFrame, measured: DataFrame, host: str = "host") -> DataFrame:
     """``docs``, which has ``measured``'s columns, with its host's verdict and ``kept``."""
-    verdicts = host_rates(measured).select(F.col("host").alias("_h"), "host_rate", "host_rejected")
+    verdicts = host_rates(measured).select(F.col("host").alias("_h"), *(f"rate_{name}" for name in rules()), "host_rejected")
     out = docs.join(broadcast_if_small(verdicts), F.col(host).eqNullSafe(F.col("_h")), "left").drop("_h")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
 
@@ -117,6 +130,6 @@ def quality_rules(docs: DataFrame, host: str = "source", key: str = "doc_id") ->
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(host).alias("host"), measures(whole_text()).alias("m"))
+    row = docs.select(F.struct(*map(column, docs.columns)).alias("row"), F.col(host).alias("host"), measures(whole_text()).alias("m"))
     measured = stored(row.select("row", "host", "m.*").withColumn("base_failed", failed()), "quality")
     return judged(measured, measured.drop("row")).filter("kept").select("row.*")

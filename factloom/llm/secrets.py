@@ -89,18 +89,18 @@ def scan(versions: DataFrame, ledger: str | None = None, key: str = "doc_id", ru
     spark = versions.sparkSession
     ledger = ledger or new_path(spark, "ledger")
     schema = f"blob string, rule_version int, spans array<{_SPAN}>"
-    rows = versions.select(F.col(key).alias("key"), whole_text().alias("body")).withColumn("blob", F.sha2("body", 256))
-    paths = stored(rows.select("key", "blob"), "blobs")
+    rows = versions.select(F.col(key).alias("key"), F.xxhash64(key).alias("at"), whole_text().alias("body")).withColumn("blob", F.sha2("body", 256))
+    paths = stored(rows.select("key", "at", "blob"), "blobs")
     spark.createDataFrame([], schema).write.mode("append").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).filter(F.col("rule_version") == rule_version).select("blob")
-    unseen = paths.groupBy("blob").agg(F.min("key").alias("at")).join(known, "blob", "left_anti")
-    # one path stands for its blob; rows that share key and text are the same blob again, and leave in distinct()
-    once = rows.join(unseen.hint("shuffle_hash"), (rows.blob == unseen.blob) & rows.key.eqNullSafe(unseen["at"])).select(rows.blob, "body")
+    unseen = paths.groupBy("blob").agg(F.min("at").alias("at")).join(known, "blob", "left_anti")
+    # one path stands for its blob; its repeated rows are in one partition, sorted as dropping all but one needs
+    once = rows.select("blob", "at", "body").join(unseen.hint("merge"), ["blob", "at"]).dropDuplicates(["blob", "at"])
     new = once.select("blob", F.lit(rule_version).alias("rule_version"), find_spans(F.col("body")).alias("spans"))
     new.write.mode("append").parquet(ledger)
     found = spark.read.schema(schema).parquet(ledger).filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     none = F.array().cast(f"array<{_SPAN}>")
-    return paths.join(found.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    return paths.drop("at").join(found.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def digests(scanned: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from . import license_scan, quality, secrets
 
+def _weight(mean: str, extra: str) -> str:
+    return f"CASE WHEN {extra} > 0 THEN least({quality.MAX_PRIOR}, greatest({quality.MIN_PRIOR}, {mean} * (1 - {mean}) / {extra} - 1)) ELSE {quality.MAX_PRIOR} END"
+
+
 OP8 = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') x FROM documents),
 w AS (SELECT doc_id, source, x, list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda v: v <> '') ws,
@@ -14,10 +18,12 @@ covered AS (SELECT doc_id, sum(least({quality.WINDOW}, coalesce(next - i, {quali
 m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) n_words, length(array_to_string(ws, '')) word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) n_repeat_words FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) n, count(*) FILTER (base_failed) bad FROM f GROUP BY source),
-p AS (SELECT avg(bad / n) mean, var_pop(bad / n) - avg(bad / n) * (1 - avg(bad / n)) * avg(1.0 / n) extra FROM h),
-r AS (SELECT source, (bad + mean * wt) / (n + wt) host_rate FROM h, (SELECT mean, CASE WHEN extra > 0 THEN least({quality.MAX_PRIOR}, greatest({quality.MIN_PRIOR}, mean * (1 - mean) / extra - 1)) ELSE {quality.MAX_PRIOR} END wt FROM p))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= {quality.MAX_HOST_RATE} AS kept, round(host_rate, 6) host_rate
+h AS (SELECT source, count(*) n, count(*) FILTER (n_words < {quality.MIN_WORDS}) bad1, count(*) FILTER (100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) bad2 FROM f GROUP BY source),
+p AS (SELECT avg(bad1 / n) m1, avg(bad2 / n) m2, var_pop(bad1 / n) - m1 * (1 - m1) * avg(1.0 / n) e1, var_pop(bad2 / n) - m2 * (1 - m2) * avg(1.0 / n) e2 FROM h),
+q AS (SELECT m1, m2, {_weight("m1", "e1")} w1, {_weight("m2", "e2")} w2 FROM p),
+r AS (SELECT source, (bad1 + m1 * w1) / (n + w1) rate_short, (bad2 + m2 * w2) / (n + w2) rate_repeats,
+  (bad1 + m1 * w1) / (n + w1) > least({quality.MAX_HOST_RATE}, m1 + {quality.DEVIATIONS} * sqrt(m1 * (1 - m1) / (w1 + 1))) OR (bad2 + m2 * w2) / (n + w2) > least({quality.MAX_HOST_RATE}, m2 + {quality.DEVIATIONS} * sqrt(m2 * (1 - m2) / (w2 + 1))) rejected FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, round(rate_short, 6) rate_short, round(rate_repeats, 6) rate_repeats
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 

@@ -39,5 +39,5 @@ def clashing(frame):
     """The hard rows with more columns, by names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["h", "k", "row", "at", "size", "start", "length", "sequence_id", "fingerprint", "component", "words", "host", "kept", "removed", "bucket", "sid", "n", "hash", "key", "blob", "spans", "taken"]
+    names = ["h", "k", "row", "at", "size", "start", "length", "sequence_id", "fingerprint", "component", "words", "host", "kept", "removed", "bucket", "sid", "n", "hash", "key", "blob", "spans", "taken", "_", "a b", "a.b", "a-b", "a`b", "select"]
     return frame(HARD).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))

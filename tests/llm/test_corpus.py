@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest_llm import rows_of
+from conftest_llm import kept_lines, rows_of
 
 from factloom.llm import chroma, line_chunks, mixing, ppm, simhash
 
@@ -70,28 +70,14 @@ def test_near_duplicates_of_hard_rows(table, request):
     assert kept.columns == docs.columns and kept.count() == len(set(label))
 
 
-def dedup(rows):
-    """Texts without repeated chunks; places in order of id, then as Spark's hash orders texts (all alike here)."""
-    first, out = {}, {}
-    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
-        lines = (t or "").encode().split(b"\n")
-        kept = []
-        for at, c in enumerate(line_chunks.chunks_of(lines)):
-            body = b"\n".join(lines[c[0] : c[1]])
-            if not line_chunks._counts(lines, c) or first.setdefault(body, (i, at)) == (i, at):
-                kept += lines[c[0] : c[1]]
-        out[i] = b"\n".join(kept).decode()
-    return out
-
-
 def test_line_dedup(frame):
     passage = "\n".join(f"this passage line number {i} is shared by several documents of the table" for i in range(12))
     long = " ".join(f"word{i}" for i in range(60))
     rows = [(i, f"own {i} start\n" * (i % 3) + passage + f"\nown end of {i}, which nothing repeats", "s") for i in range(6)]
     rows += [(10, f"a\n{long}\nb", "s"), (11, f"c\nd\n{long}", "s"), (12, long, "s"), (13, None, "s"), (14, "", "s"), (15, "clean text\nof two lines with enough words to count as one", "s")]
     got = {r.doc_id: r.text for r in line_chunks.dedup_rows(frame(rows)).collect()}
-    want = dedup([(i, t) for i, t, _ in rows])
-    assert {i: t or "" for i, t in got.items()} == want
+    want = kept_lines([t or "" for _, t, _ in rows])
+    assert {i: t or "" for i, t in got.items()} == dict(zip([i for i, *_ in rows], want, strict=True))
     assert got[13] is None and got[12] == "" and got[15] == rows[-1][1] and got[10] == rows[6][1] and got[11] == "c\nd"
     assert all(len(got[i]) < len(rows[i][1]) * 0.8 for i in range(1, 6))
 
@@ -147,6 +133,44 @@ def test_mixing(table, request, frame):
     assert all(words[s] == taken[s] for s in sizes)
 
 
+def test_permutations_reach_all(spark):
+    rows = spark.createDataFrame([(n, k) for n in (1, 2, 3, 10, 97, 256, 1000) for k in (1, 2)], "n bigint, k int").selectExpr("n", "k", "explode(sequence(0L, n - 1)) x")
+    got = defaultdict(list)
+    for r in rows.withColumn("y", mixing.permuted(rows.x, rows.n, rows.k)).orderBy("n", "k", "x").collect():
+        got[r.n, r.k].append(r.y)
+    assert all(sorted(ys) == [*range(n)] for (n, _), ys in got.items())
+    assert got[1000, 1] != got[1000, 2]
+    steps = Counter((b - a) % 1000 for a, b in zip(got[1000, 1], got[1000, 1][1:], strict=False))
+    assert steps.most_common(1)[0][1] < 12  # no fixed stride
+
+
+def test_counts_of_shards_are_multinomial(spark, monkeypatch):
+    """Each shard's counts add up to its slots and vary as draws with replacement do; numbers and blocks leave no gap."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    rows = [(1, "a", 5000, 10, 5, 9000.0), (2, "b", 3001, 10, 2, 3600.4), (3, "c", 10, 1, 1, 25.0), (4, "d", 0, 1, 5, 0.0)]
+    known = spark.createDataFrame(rows, "sid bigint, source string, source_size bigint, n_docs bigint, weight int, target double")
+    ranges = [(1, 0, 2250), (2, 2250, 901), (3, 3151, 8)]
+    counts = mixing.draws(spark.createDataFrame(ranges, "sid bigint, first bigint, n_slots bigint"), 3159).collect()
+    shards = defaultdict(Counter)
+    for r in counts:
+        shards[r.shard][r.sid] += r["count"]
+    assert [sum(shards[s].values()) for s in range(50)] == [64] * 49 + [3159 - 49 * 64]
+    share = 2250 / 3159
+    spread = np.mean([(shards[s][1] - 64 * share) ** 2 for s in range(49)]) / (64 * share * (1 - share))
+    assert 0.5 < spread < 1.7
+    before = {(r.shard, r.sid): r.before for r in mixing.numbered(spark.createDataFrame(counts)).collect()}
+    assert all(before[s, i] == sum(shards[t][i] for t in range(s)) for s, i in before)
+    found = mixing.slots(known, block=4).collect()
+    taken, blocks = Counter(), defaultdict(list)
+    for r in found:
+        taken[r.sid] += min(r.words, {1: 5000, 2: 3001, 3: 10}[r.sid] - 4 * r.block)  # a source's last block is short
+        blocks[r.sid, r.epoch].append(r.block)
+    assert taken == {1: 9000, 2: 3600, 3: 25} and len(found) == 1250 + 1000 + 751 + 150 + 3 + 3 + 2
+    assert all(len(set(b)) == len(b) for b in blocks.values())
+    assert sorted(blocks[1, 0]) == [*range(1250)] and sorted(blocks[2, 0]) == [*range(751)] and sorted(blocks[3, 1]) == [0, 1, 2]
+    assert {s for s, in {(r.shard,) for r in found}} == {*range(50)}
+
+
 def test_empty_tables(frame):
     none = frame([])
     assert mixing.mix(none).count() == mixing.mix_rows(none).count() == 0

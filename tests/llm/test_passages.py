@@ -3,32 +3,11 @@
 import random
 
 import pytest
+from conftest_llm import kept_lines
 
 from factloom.llm import line_chunks
 
 
-def kept_lines(texts):
-    """Brute force: every two lines in a row, and every line of 50 words, against all earlier ones."""
-    seen, out = set(), []
-    for text in texts:
-        lines = text.split("\n")
-        windows = [tuple(lines[i : i + 2]) for i in range(len(lines) - 1)]
-        gone, run = set(), set()
-        for i, window in enumerate([*windows, None]):
-            if window is not None and window in seen:
-                run |= {i, i + 1}
-            else:
-                gone |= run if sum(len(lines[j].split()) for j in run) >= 10 else set()
-                run = set()
-            seen.add(window)
-        for i, line in enumerate(lines):
-            if len(line.split()) >= 50:
-                gone |= {i} if line in seen else set()
-                seen.add(line)
-        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-    return out
-
-
 @pytest.mark.parametrize("n_lines", [2, 3, 4, 5])
 def test_short_passages_go_whole(frame, n_lines):
     """Passages of over 50 words on lines of 11 to 30 words, in two documents each, between lines of their own."""
@@ -49,10 +28,13 @@ def test_runs_against_brute_force(frame):
     assert sum(r.n_removed_lines for r in rows) > 100
 
 
-def test_different_bytes_under_one_hash_stay(frame, monkeypatch):
+def test_different_bytes_under_one_hash(frame, monkeypatch):
     """As if all first windows had one pair of hashes: only where their bytes are equal do they go."""
     one = lambda rows: rows.selectExpr("doc_id", "h", "0L at", "7L hash", "7L check", "doc_id = 0 is_first")
     monkeypatch.setattr(line_chunks, "repeated", one)
     words = " ".join(f"w{j}" for j in range(12))
-    for texts, want in (([f"{words}\nline {i}\nend" for i in range(3)],) * 2, ([f"{words}\nline\nend {i}" for i in range(2)], [f"{words}\nline\nend 0", "end 1"])):
-        assert {r.text for r in line_chunks.dedup_rows(frame(texts)).collect()} == {*want}
+    apart = [f"{words}\nline {i}\nend" for i in range(3)]
+    alike = [f"{words}\nline\nend {i}" for i in range(2)]
+    mixed = [f"{words}\nline {i % 2}\nend {i}" for i in range(4)]
+    for texts, want in ((apart, apart), (alike, [alike[0], "end 1"]), (mixed, [*mixed[:2], "end 2", "end 3"])):
+        assert {r.doc_id: r.text for r in line_chunks.dedup_rows(frame(texts)).collect()} == dict(enumerate(want))

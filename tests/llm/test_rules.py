@@ -47,6 +47,17 @@ def test_bad_host_goes_whole(frame):
     assert 0 not in kept and kept == set(range(100, 160))
 
 
+def test_a_host_that_stands_out_goes(frame):
+    """Hosts that fail one document in eleven, as in the given tables, one that fails one in three and one that fails one in seven."""
+    clean, loop = " ".join(f"w{i}" for i in range(30)), "the same eight words again and again and " * 9
+    bad = {f"h{k:02}": 10 for k in range(18)} | {"junk": 37, "near": 15}
+    rows = [(110 * k + i, ("short" if i % 2 else loop) if i < n else clean, h) for k, (h, n) in enumerate(bad.items()) for i in range(110)]
+    got = quality.quality_rules(frame(rows)).collect()
+    assert {r.host for r in got if not r.base_failed and not r.kept} == {"junk"}
+    by_host = {r.host: r for r in quality.host_rates(quality.measure(frame(rows))).collect()}
+    assert by_host["junk"].n_short + by_host["junk"].n_repeats == 37 and by_host["near"].rate_short < by_host["near"].most_short
+
+
 def test_empty_tables(frame):
     none = frame([])
     assert quality.quality_rules(none).count() == quality.keep_good(none).count() == 0
@@ -88,6 +99,12 @@ def test_ledger_scans_only_what_it_lacks(spark, frame, tmp_path):
     assert spark.read.parquet(ledger).filter("rule_version = 2").count() == 8
 
 
+def test_repeated_rows_are_one_blob(spark, frame, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    out = secrets.scan(frame([(7, SECRETS[0], "a")] * 50 + [(8, SECRETS[0], "b"), (None, SECRETS[1], "a"), (None, SECRETS[1], "a")]), ledger)
+    assert spark.read.parquet(ledger).count() == 2 and out.count() == 53
+
+
 def test_secrets_of_hard_rows(clashing):
     assert secrets.scan(clashing.select("doc_id", "text", "h", "k")).count() == clashing.count()
 
