@@ -62,7 +62,7 @@ def options_valid(options: Column, answer) -> Column:
 
 
 def claim_text(head, relation, tail, strength) -> Column:
-    """A fact as a sentence, as firm as its evidence."""
+    """A fact as a sentence, as firm as its evidence. The wording."""
     r = F.regexp_replace(T.normalize_text(relation), "_", " ")
     h, t, s = T.col(head), T.col(tail), T.col(strength)
     return F.concat(

@@ -97,8 +97,9 @@ def abbreviations(evidence) -> Column:
 
     entries = F.transform(F.filter(pairs, fits), lambda p: F.struct(T.normalize_keyword(T.clean_entity(p["short"])).alias("k"), T.clean_entity(p["long"]).alias("v")))
     # of a short form's long forms the last holds
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1000), lambda x: x["k"] == e["k"]))
-    return F.map_from_entries(last)
+    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
+    return F.map_from_arrays(keys, F.transform(keys, last))
 
 
 def entity_name(v: Vocabulary, name, evidence) -> Column:

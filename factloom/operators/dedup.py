@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.plans.ranks import within_group
 
 
 def question_key(kind, question, options: Column, answer) -> Column:
-    """What makes a question the same: its text, and for multiple choice its options in order and its answer. '' without text."""
-    body = T.entity_key(question)
-    choices = F.array_sort(F.transform(options, T.entity_key))
-    mcq = F.to_json(F.struct(body.alias("q"), choices.alias("o"), T.entity_key(answer).alias("a")))
-    return F.when(body == "", "").when(T.col(kind).isin("claim_choice", "one_hop_tail", "two_hop_tail"), mcq).otherwise(body)
+    """What makes a question the same: its text, and for questions with a fixed answer also its type, its options in order and its answer."""
+    body, k = T.entity_key(question), F.lower(F.coalesce(T.col(kind), F.lit("")))
+    choices = F.array_sort(F.filter(F.transform(F.coalesce(options, F.array().cast("array<string>")), T.entity_key), lambda o: o != ""))
+    closed = F.to_json(F.struct(k.alias("kind"), body.alias("question"), T.entity_key(answer).alias("answer"), choices.alias("options")))
+    return F.when(k.isin("claim_choice", "one_hop_tail", "two_hop_tail", "boolean_support"), closed).otherwise(body)
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -24,8 +25,8 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def renamed_repeats(df: DataFrame, key: str, order: str) -> DataFrame:
     """``key`` with __d2, __d3 and so on from its second row on."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("_n", n).withColumn(key, F.when(F.col("_n") > 1, F.concat(F.col(key), F.lit("__d"), F.col("_n"))).otherwise(F.col(key))).drop("_n")
+    n = within_group(df, [key], order)
+    return n.withColumnRenamed("_r", "_n").withColumn(key, F.when(F.col("_n") > 1, F.concat(F.col(key), F.lit("__d"), F.col("_n"))).otherwise(F.col(key))).drop("_n")
 
 
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:

@@ -48,19 +48,28 @@ def proposals(raw: DataFrame, verdicts: DataFrame, min_evidence: int = 3, min_do
     return found.join(verdicts.select("kind", "key", "decision"), ["kind", "key"], "left").withColumn("outcome", F.when(~enough, "too_few").otherwise(F.coalesce("decision", F.lit("reject")))).drop("decision")
 
 
-def seed_score(term: Column, frequency: Column) -> Column:
-    """How good a term is to start from: its frequency, with capitals, digits and hyphens as signs of a name."""
-    signs = [term.rlike("[A-Z]{2,}"), term.rlike("[0-9]"), F.contains(term, F.lit("-"))]
-    return 2 * frequency + sum(F.when(s, 1).otherwise(0) for s in signs)
-
-
-def ranked_seeds(items: DataFrame, text: str, most: int) -> DataFrame:
-    """Names in texts by score: words with capitals or digits, counted once a text; acronyms need two texts."""
-    pattern = r"\b([A-Z][A-Za-z0-9]*[A-Z0-9][A-Za-z0-9-]*|[A-Za-z]+-[0-9A-Za-z-]+|[A-Z][a-z]{4,})\b"
+def seed_score(term: Column, suffixes: tuple[str, ...] = (), noisy: Column | None = None) -> Column:
+    """How good a term is to start from: digits 4, capitals after the first letter 3, / : - + 2, its words from two on (4 at most), a known ending 3, less 6 for a noisy one."""
+    words = F.size(F.split(F.trim(term), r"\s+"))
+    signs = [(term.rlike("[0-9]"), 4), (F.substring(term, 2, 1 << 30).rlike(r"\p{Lu}"), 3), (term.rlike("[/:+-]"), 2)]
+    if suffixes:
+        signs.append((F.exists(F.array(*map(F.lit, suffixes)), lambda e: F.endswith(F.lower(term), e)), 3))
+    score = sum((F.when(s, n).otherwise(0) for s, n in signs), F.when(words >= 2, F.least(words, F.lit(4))).otherwise(0))
+    return score - (F.lit(0) if noisy is None else F.when(noisy, 6).otherwise(0))
+
+
+def ranked_seeds(items: DataFrame, text: str, most: int, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """The ``most`` best names in texts, its limit being the feature: words with capitals or digits, counted once a text; acronyms need two texts.
+
+    In order of score, frequency, fewer words, more letters, then the name.
+    """
+    pattern = r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9]*[A-Z0-9][A-Za-z0-9-]*|[A-Za-z]+-[0-9A-Za-z-]+|[A-Z][a-z]{4,})(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
     each = items.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)))).alias("term"))
     counted = each.groupBy(T.normalize_keyword("term").alias("key")).agg(F.count(F.lit(1)).alias("frequency"), F.min("term").alias("term"))
     kept = counted.filter(~F.col("term").rlike("^[A-Z]{2,4}$") | (F.col("frequency") >= 2))
-    return kept.withColumn("score", seed_score(F.col("term"), F.col("frequency"))).orderBy(F.desc("score"), F.desc("frequency"), "key").limit(most)
+    scored = kept.withColumn("score", seed_score(F.col("term"), suffixes, F.col("term").rlike("^[A-Z]{2,4}$")))
+    words = F.size(F.split("term", r"\s+"))
+    return scored.orderBy(F.desc("score"), F.desc("frequency"), words, F.desc(F.length("term")), "key").limit(most)
 
 
 def acquired(papers: DataFrame, channels: list[tuple[str, DataFrame]], key: str = "paper_id") -> DataFrame:

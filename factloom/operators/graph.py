@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.plans.components import connected_components
 from factloom.plans.ranks import percent_rank
-from factloom.plans.storage import broadcast_if_small, stored
+from factloom.plans.storage import broadcast_if_small, drop_stored, stored
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tolerance:
         given = flows.join(ranks, F.col("head") == F.col("node")).groupBy("tail").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         base = (1 - alpha) / n + alpha * (loose or 0.0) / n
         new = F.lit(base) + alpha * F.coalesce("got", F.lit(0.0))
-        ranks = stored(ranks.join(given, F.col("node") == F.col("tail"), "left").select("node", "loose", new.alias("rank"), F.col("rank").alias("old")), "ranks")
+        last, ranks = ranks, stored(ranks.join(given, F.col("node") == F.col("tail"), "left").select("node", "loose", new.alias("rank"), F.col("rank").alias("old")), "ranks")
+        drop_stored(last)
     return ranks.select("node", "rank")
 
 
@@ -124,14 +125,15 @@ def ego(edges: DataFrame, limit: int = 20) -> DataFrame:
     return near.join(deg, "node").orderBy(F.desc("degree"), "node").limit(limit)
 
 
-def expanded(seeds: DataFrame, links: DataFrame, rounds: int, limit: int) -> DataFrame:
-    """term, round and parent reached from ``seeds`` (term) over ``links`` (term, next), ``limit`` new terms a round at most."""
+def expanded(seeds: DataFrame, links: DataFrame, rounds: int, limit: int | None = None) -> DataFrame:
+    """term, round and parent reached from ``seeds`` (term) over ``links`` (term, next); of a round's new terms the first ``limit``, if there is one."""
     seen = stored(seeds.select("term").distinct().withColumns({"round": F.lit(0), "parent": F.lit(None).cast("string")}), "seen")
     frontier = seen
     for i in range(1, rounds + 1):
         reached = frontier.select("term").join(links, "term").select(F.col("next").alias("term"), F.col("term").alias("parent"))
         new = reached.groupBy("term").agg(F.min("parent").alias("parent")).join(seen.select("term"), "term", "left_anti")
-        frontier = stored(new.orderBy("term").limit(limit).select("term", F.lit(i).alias("round"), "parent"), "frontier")
+        new = new if limit is None else new.orderBy("term").limit(limit)
+        frontier = stored(new.select("term", F.lit(i).alias("round"), "parent"), "frontier")
         if not frontier.limit(1).count():
             break
         seen = stored(seen.union(frontier), "seen")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.plans.ranks import within_group
 from factloom.plans.storage import stored
 
 
@@ -49,7 +50,8 @@ def apportioned(weights: DataFrame, total: int) -> DataFrame:
 
 def allocated(df: DataFrame, kind: str, order: str, quota: DataFrame) -> DataFrame:
     """The first rows of each kind by ``order``, as many as its quota."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(order)))
+    most = quota.agg(F.max("quota")).first()[0] or 0  # no kind gives more, so that few rows of each part are ranked again
+    ranked = within_group(df, [kind], order, most)
     return ranked.join(F.broadcast(quota.select(F.col("name").alias(kind), "quota")), kind).filter("_r <= quota").drop("_r", "quota")
 
 

@@ -34,7 +34,11 @@ def activated(triples: DataFrame) -> DataFrame:
     )
 
 
-def drop_reason(generic: tuple[str, ...] = (), relations: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> Column:
+#: How names of protein families begin, which are no cell lines.
+PROTEIN_FAMILY = r"^(?:IGF2BP|HNRNP|hnRNP|BRD|LATS|MST|TMPRSS|FZD|SMC|NSE|CUL)\w*(?:[-/–]\w+)*$"
+
+
+def drop_reason(generic: tuple[str, ...] = (), relations: tuple[str, ...] = (), types: tuple[str, ...] = (), aliases: tuple[str, ...] = ()) -> Column:
     """Why a row is dropped, or null: the first of the rules that it breaks. Empty lists switch their rules off."""
     head, tail = T.normalize_keyword("head"), T.normalize_keyword("tail")
     common = lambda x: (x.isin(*generic) if generic else F.lit(False)) | x.endswith(" et al")
@@ -43,9 +47,12 @@ def drop_reason(generic: tuple[str, ...] = (), relations: tuple[str, ...] = (),
         why = why.when(~F.col("normalized_relation").isin(*relations), "relation")
     if types:
         why = why.when(~F.coalesce(F.col("head_type").isin(*types) & F.col("tail_type").isin(*types), F.lit(False)), "type")
-    short = lambda t, x: F.col(t).isin("Disease", "ClinicalEndpoint") & F.col(x).rlike("^[A-Z]{2,4}$")
+    known = lambda x: T.normalize_keyword(x).isin(*aliases) if aliases else F.lit(False)
+    short = lambda t, x: F.col(t).isin("Disease", "ClinicalEndpoint") & F.col(x).rlike("^[A-Z]{2,4}$") & ~known(x)
+    family = lambda t, x: (F.col(t) == "CellLine") & F.col(x).rlike(PROTEIN_FAMILY)
     return (
-        why.when(head == tail, "self_loop")
+        why.when(F.coalesce(family("head_type", "head") | family("tail_type", "tail"), F.lit(False)), "protein_family")
+        .when(head == tail, "self_loop")
         .when(T.looks_like_sentence("head") | T.looks_like_sentence("tail"), "sentence")
         .when(common(head) | common(tail), "generic")
         .when(F.coalesce(short("head_type", "head") | short("tail_type", "tail"), F.lit(False)), "short_name")
@@ -77,7 +84,10 @@ def deduplicated(triples: DataFrame) -> DataFrame:
 
 
 def source_key(doc: str = "doc_id", chunk: str = "chunk_id", evidence: str = "evidence") -> Column:
-    """What makes evidence independent: its chunk, or its own text where it has no ids; null where it has neither."""
+    """What makes evidence independent: its chunk, or its own text where it has no ids; null where it has neither.
+
+    Of such a text the first 1000 characters count, a fixed value of the rule.
+    """
     d, c, e = T.normalize_text(doc), T.normalize_text(chunk), T.normalize_text(evidence)
     return F.when((d != "") | (c != ""), F.struct(d.alias("d"), c.alias("c"), F.lit("").alias("e"))).when(e != "", F.struct(F.lit("").alias("d"), F.lit("").alias("c"), F.substring(e, 1, 1000).alias("e")))
 

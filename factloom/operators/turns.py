@@ -15,11 +15,19 @@ def without_repeats(turns: DataFrame, session: str, order: str, role: str, text:
     return kept.withColumn("_before", before).filter(~F.col("_sig").eqNullSafe(F.col("_before"))).drop("_sig", "_before")
 
 
-def last_assistant(turns: DataFrame, session: str, order: str, role: str, text: str, min_chars: int = 1) -> DataFrame:
-    """Per session the last assistant turn of ``min_chars`` or more, else the last assistant turn, else the last turn."""
+def says_nothing(text) -> Column:
+    """Whether a turn only ends a session or gives up: very short, a short farewell or bare answer, or a failed look-up. Fixed values throughout."""
+    body = F.trim(F.coalesce(T.col(text), F.lit("")))
+    low, n = F.lower(body), F.length(body)
+    head = F.substring(low, 1, 400)
+    failed = F.contains(head, F.lit("could not fetch")) | F.contains(head, F.lit("could not retrieve"))
+    return (n < 40) | (F.contains(low, F.lit("terminate")) & (n < 200)) | failed | (F.contains(low, F.lit("<answer>")) & (n < 400))
+
+
+def last_assistant(turns: DataFrame, session: str, order: str, role: str, text: str) -> DataFrame:
+    """Per session the last assistant turn that says something, else the last assistant turn, else the last turn."""
     said = F.col(role) == "assistant"
-    long = said & (F.length(T.normalize_text(text)) >= min_chars)
-    rank = F.when(long, 2).when(said, 1).otherwise(0)
+    rank = F.when(said & ~says_nothing(text), 2).when(said, 1).otherwise(0)
     row = F.struct(F.col(order).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     return turns.groupBy(session).agg(F.max_by(row, F.struct(rank, F.col(order))).alias("_t")).select(session, "_t.*")
 
@@ -60,9 +68,15 @@ def pivoted(events: DataFrame, key: str, event: str, kinds: tuple[str, ...]) ->
 
 def rate_windows(events: DataFrame, key: str, ts: str, cost: str, seconds: int = 60) -> DataFrame:
     """For each event the events and their cost in the ``seconds`` up to it, those at the same time included."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    by = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    return events.withColumn("_at", at).withColumns({"n_recent": F.count(F.lit(1)).over(by), "cost_recent": F.sum(cost).over(by)}).drop("_at")
+    width = seconds * 1_000_000
+    rows = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    # a key's time is cut into stretches of many windows; an event also goes to the next stretch if a window there reaches back to it
+    stretch = F.floor(F.col("_at") / (64 * width))
+    later = F.floor((F.col("_at") + width) / (64 * width))
+    rows = rows.withColumn("_own", stretch).withColumn("_part", F.explode(F.when(later > stretch, F.array(stretch, later)).otherwise(F.array(stretch))))
+    by = Window.partitionBy(key, "_part").orderBy("_at").rangeBetween(-width, Window.currentRow)
+    counted = rows.withColumns({"n_recent": F.count(F.lit(1)).over(by), "cost_recent": F.sum(cost).over(by)})
+    return counted.filter("_part = _own").drop("_at", "_own", "_part")
 
 
 def stalls(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -28,3 +28,25 @@ def percent_rank(df: DataFrame, value: str, name: str = "percentile") -> DataFra
     n = df.count()
     share = F.lit(1.0) if n == 1 else F.col("_smaller") / F.lit(max(n - 1, 1))
     return df.join(counts.withColumnRenamed(value, "_value"), F.col(value).eqNullSafe(F.col("_value"))).withColumn(name, share).drop("_value", "_n", "_smaller")
+
+
+def within_group(df: DataFrame, keys: list[str], order: str, most: int | None = None, parts: int = 64) -> DataFrame:
+    """``df`` with ``_r``, each row's number in its group by ``order``; rows beyond ``most`` are left out.
+
+    A group of any size is dealt into ranges of ``order``, numbered within each,
+    and each range adds what the group has in the ranges before it.
+    """
+    if most is not None:
+        # the first rows of a group are among the first of its hashed parts
+        part = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+        some = part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))).filter(F.col("_r") <= most)
+        return some.drop("_part").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_r") <= most)
+    ranged = stored(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), before.alias("_before"))
+    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return within.join(sizes, same).withColumn("_r", F.col("_r") + F.col("_before")).drop("_part", "_p", "_before", *(f"_k{i}" for i in range(len(keys))))

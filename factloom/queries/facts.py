@@ -145,10 +145,10 @@ def normalize_drop_reasons(spark, d):
 
 
 @query(
-    f"""WITH {FACTS} SELECT node, count(*) degree, round(1 + ln(1 + count(*)), 6) weight FROM (SELECT head node FROM facts WHERE relation <> 'supplies' UNION ALL SELECT tail FROM facts WHERE relation <> 'supplies') GROUP BY node"""
+    f"""WITH {FACTS} SELECT node, count(*) degree, round(1 + ln(1 + count(*)), 6) weight FROM (SELECT head node FROM facts UNION ALL SELECT tail FROM facts) GROUP BY node"""
 )
 def degree_weight(spark, d):
-    found = graph.degrees(facts(spark, d).filter("normalized_relation <> 'supplies'"))
+    found = graph.degrees(facts(spark, d))
     return found.select("node", "degree", F.round(graph.connectivity_weight(F.col("degree")), 6).alias("weight"))
 
 
@@ -164,14 +164,17 @@ def percentile_tier(spark, d):
 
 
 @query(
-    """WITH ends AS (SELECT r_regionkey r, 'region ' || r_regionkey node FROM region UNION ALL SELECT n_regionkey, 'nation ' || n_nationkey FROM nation
-      UNION ALL SELECT n_regionkey, 'customer ' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
-      UNION ALL SELECT n_regionkey, 'supplier ' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-    SELECT node, min(node) OVER (PARTITION BY r) component, count(*) OVER (PARTITION BY r) size FROM ends WHERE r IN (SELECT n_regionkey FROM nation)"""
+    """WITH RECURSIVE home AS (SELECT s_suppkey s, n_regionkey r FROM supplier JOIN nation ON s_nationkey = n_nationkey), part_of AS (SELECT DISTINCT l_partkey p, r FROM lineitem JOIN home ON l_suppkey = s),
+    near AS (SELECT DISTINCT a.r a, b.r b FROM part_of a JOIN part_of b USING (p)), reach AS (SELECT DISTINCT n_regionkey a, n_regionkey b FROM nation UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+    root AS (SELECT a r, min(b) c FROM reach GROUP BY a),
+    ends AS (SELECT n_regionkey r, 'region ' || n_regionkey node FROM nation UNION SELECT n_regionkey, 'nation ' || n_nationkey FROM nation UNION SELECT r, 'part ' || p FROM part_of
+      UNION SELECT n_regionkey, 'customer ' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT r, 'supplier ' || s FROM home
+      UNION SELECT n_regionkey, 'order ' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    named AS (SELECT DISTINCT node, c FROM ends JOIN root USING (r)) SELECT node, min(node) OVER (PARTITION BY c) component, count(*) OVER (PARTITION BY c) size FROM named"""
 )
 def weak_components(spark, d):
-    """Where people live: a component for each region."""
-    return graph.components(facts(spark, d).filter("normalized_relation IN ('located_in', 'part_of')").select("head", "tail"), 2)
+    """Regions that suppliers of one part join, with all that is in them."""
+    return graph.components(facts(spark, d).select("head", "tail"), 2)
 
 
 @query(
@@ -186,8 +189,8 @@ def one_hop_evidence(spark, d):
 
 @query()
 def pagerank_tier(spark, d):
-    """Tiers of nodes by PageRank over who lives where; an iteration, so without SQL."""
-    edges = facts(spark, d).filter("normalized_relation IN ('located_in', 'part_of')").select("head", "tail", F.col("confidence").alias("weight"))
+    """Tiers of nodes by PageRank over all facts; an iteration, so without SQL."""
+    edges = facts(spark, d).select("head", "tail", F.col("confidence").alias("weight"))
     return graph.pagerank_tiers(edges)
 
 
@@ -226,9 +229,15 @@ def lookup_chain(spark, d):
     return triples.with_fallbacks(rows, "key", exact, exact.select(F.col("name").alias("alias"), "name")).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(
+    f"""WITH {FACTS}, l AS (SELECT DISTINCT tail term, head AS next FROM facts), r0 AS (SELECT DISTINCT tail term FROM facts WHERE relation = 'part_of'),
+    r1 AS (SELECT next AS term, min(l.term) parent FROM r0 JOIN l USING (term) WHERE next NOT IN (SELECT term FROM r0) GROUP BY 1),
+    r2 AS (SELECT next AS term, min(l.term) parent FROM r1 JOIN l USING (term) WHERE next NOT IN (SELECT term FROM r0 UNION SELECT term FROM r1) GROUP BY 1),
+    r3 AS (SELECT next AS term, min(l.term) parent FROM r2 JOIN l USING (term) WHERE next NOT IN (SELECT term FROM r0 UNION SELECT term FROM r1 UNION SELECT term FROM r2) GROUP BY 1)
+    SELECT term, 0 AS round, NULL parent FROM r0 UNION ALL SELECT term, 1, parent FROM r1 UNION ALL SELECT term, 2, parent FROM r2 UNION ALL SELECT term, 3, parent FROM r3"""
+)
 def frontier_expansion(spark, d):
-    """Nodes within three steps of the first region, round by round."""
-    edges = facts(spark, d).filter("normalized_relation IN ('located_in', 'part_of')")
-    seeds = edges.filter("normalized_relation = 'part_of'").select(F.min("tail").alias("term"))
-    return graph.expanded(seeds, edges.select(F.col("tail").alias("term"), F.col("head").alias("next")), 3, 1000)
+    """Nodes within three steps of any region, round by round, over all facts."""
+    edges = facts(spark, d)
+    seeds = edges.filter("normalized_relation = 'part_of'").select(F.col("tail").alias("term"))
+    return graph.expanded(seeds, edges.select(F.col("tail").alias("term"), F.col("head").alias("next")).distinct(), 3)

@@ -133,10 +133,11 @@ def consecutive_dedup(spark, d):
 
 @query(
     """SELECT conv_id, arg_max(turn, p * 1000000 + turn) turn, arg_max(role, p * 1000000 + turn) AS role, length(arg_max(text, p * 1000000 + turn)) n_chars FROM
-    (SELECT *, CASE WHEN role = 'assistant' AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 200 THEN 2 WHEN role = 'assistant' THEN 1 ELSE 0 END p FROM conversations) GROUP BY conv_id"""
+    (SELECT *, CASE WHEN role = 'assistant' AND NOT (length(trim(text)) < 40 OR (contains(lower(text), 'terminate') AND length(trim(text)) < 200) OR contains(left(lower(trim(text)), 400), 'could not fetch') OR contains(left(lower(trim(text)), 400), 'could not retrieve')
+      OR (contains(lower(text), '<answer>') AND length(trim(text)) < 400)) THEN 2 WHEN role = 'assistant' THEN 1 ELSE 0 END p FROM conversations) GROUP BY conv_id"""
 )
 def turn_prune(spark, d):
-    found = turns.last_assistant(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", 200)
+    found = turns.last_assistant(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
     return found.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
 
 

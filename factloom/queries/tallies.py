@@ -11,11 +11,11 @@ from .base import FACTS, facts, query, table
 
 
 @query(
-    f"""WITH {FACTS}, ends AS (SELECT head node, head_type kind FROM facts WHERE relation <> 'supplies' UNION ALL SELECT tail, tail_type FROM facts WHERE relation <> 'supplies'), n AS (SELECT node, min(kind) kind, count(*) degree FROM ends GROUP BY node)
+    f"""WITH {FACTS}, ends AS (SELECT head node, head_type kind FROM facts UNION ALL SELECT tail, tail_type FROM facts), n AS (SELECT node, min(kind) kind, count(*) degree FROM ends GROUP BY node)
     SELECT kind, degree, count(*) n_nodes FROM n GROUP BY ALL"""
 )
 def degree_histogram(spark, d):
-    rows = facts(spark, d).filter("normalized_relation <> 'supplies'")
+    rows = facts(spark, d)
     kinds = rows.select(F.col("head").alias("node"), F.col("head_type").alias("kind")).union(rows.select("tail", "tail_type")).groupBy("node").agg(F.min("kind").alias("kind"))
     return graph.degrees(rows).join(kinds, "node").groupBy("kind", "degree").agg(F.count(F.lit(1)).alias("n_nodes"))
 
@@ -42,19 +42,25 @@ def bag_union(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9]*[A-Z0-9][A-Za-z0-9-]*|[A-Za-z]+-[0-9A-Za-z-]+|[A-Z][a-z]{4,})\b', 1)) term FROM benchmark),
+    c AS (SELECT lower(term) AS "key", count(*) frequency, min(term) term FROM t GROUP BY 1),
+    s AS (SELECT *, CASE WHEN regexp_matches(term, '[0-9]') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(term[2:], '[A-Z]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(term, '[/:+-]') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(term, '^[A-Z]{2,4}$') THEN 6 ELSE 0 END AS score
+      FROM c WHERE NOT regexp_matches(term, '^[A-Z]{2,4}$') OR frequency >= 2)
+    SELECT "key", frequency, term, score FROM s ORDER BY score DESC, frequency DESC, length(term) DESC, "key" LIMIT 50"""
+)
 def seed_ranking(spark, d):
     """The fifty best names in benchmark items to start from."""
     return evidence.ranked_seeds(table(spark, d, "benchmark"), "text", 50).select("key", "frequency", "term", "score")
 
 
 @query(
-    f"""WITH {FACTS}, e AS (SELECT head, tail FROM facts WHERE relation IN ('located_in', 'part_of')), deg AS (SELECT node, count(*) degree FROM (SELECT head node FROM e UNION ALL SELECT tail FROM e) GROUP BY 1),
+    f"""WITH {FACTS}, e AS (SELECT head, tail FROM facts), deg AS (SELECT node, count(*) degree FROM (SELECT head node FROM e UNION ALL SELECT tail FROM e) GROUP BY 1),
     hub AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 1), near AS (SELECT DISTINCT n FROM (SELECT tail n FROM e JOIN hub ON head = node UNION ALL SELECT head FROM e JOIN hub ON tail = node))
     SELECT n AS node, (SELECT node FROM hub) hub, degree FROM near JOIN deg ON n = node ORDER BY degree DESC, n LIMIT 20"""
 )
 def ego_network(spark, d):
-    return graph.ego(facts(spark, d).filter("normalized_relation IN ('located_in', 'part_of')")).select("node", "hub", "degree")
+    return graph.ego(facts(spark, d)).select("node", "hub", "degree")
 
 
 @query(

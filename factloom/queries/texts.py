@@ -59,14 +59,13 @@ def keyword_match_score(spark, d):
 
 
 @query(
-    """SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(translate(left(text, 40), '-/', '_ '), '[^A-Za-z0-9_ ]+', ' ', 'g'), '\\s+', '_', 'g'), '^_+|_+$', '', 'g')) AS snake,
-      'title::' || sha256(lower(trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g')))) AS cache_key, greatest(1, length(text) // 4) AS n_tokens, md5(regexp_replace(source || '/' || lang, '[^A-Za-z0-9._-]+', '_', 'g')) AS name_md5 FROM documents"""
+    """SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(translate(trim(regexp_replace(text, '\\s+', ' ', 'g')), '-/', '_ '), '[^A-Za-z0-9_ ]+', ' ', 'g'), '\\s+', '_', 'g'), '^_+|_+$', '', 'g'))) AS snake_md5,
+      'title::' || sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS cache_key, greatest(1, length(text) // 4) AS n_tokens, md5(regexp_replace(source || '/' || lang, '[^A-Za-z0-9._-]+', '_', 'g')) AS name_md5 FROM documents"""
 )
 def text_keys(spark, d):
-    head = F.substring("text", 1, 40)
     none = F.lit("")
     name = T.safe_name(F.concat_ws("/", "source", "lang"))
-    return table(spark, d, "documents").select("doc_id", T.snake_case(head).alias("snake"), T.cache_key(none, none, none, head).alias("cache_key"), T.token_estimate("text").alias("n_tokens"), F.md5(name).alias("name_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.snake_case("text")).alias("snake_md5"), T.cache_key(none, none, none, "text").alias("cache_key"), T.token_estimate("text").alias("n_tokens"), F.md5(name).alias("name_md5"))
 
 
 @query(
@@ -124,13 +123,13 @@ _OPTIONS = ("en", "fr", "de", "es")
 
 
 @query(
-    """SELECT doc_id, CASE WHEN regexp_extract(upper(left(text, 60)), '^\\s*([A-H])(?:[^A-Z0-9_]|$)', 1) IN ('A', 'B', 'C', 'D') AND ascii(substr(upper(trim(left(text, 60))), 2, 1)) < 128
-      THEN ascii(regexp_extract(upper(left(text, 60)), '^\\s*([A-H])', 1)) - 65 ELSE -1 END AS picked FROM documents"""
+    """SELECT doc_id, CASE WHEN regexp_extract(upper(text), '^\\s*([A-H])(?:[^A-Z0-9_]|$)', 1) IN ('A', 'B', 'C', 'D') AND ascii(substr(upper(trim(text)), 2, 1)) < 128
+      THEN ascii(regexp_extract(upper(text), '^\\s*([A-H])', 1)) - 65 ELSE -1 END AS picked FROM documents"""
 )
 def answer_parse(spark, d):
     """Texts read as answers: the option that a letter as first word names."""
     options = F.array(*map(F.lit, _OPTIONS))
-    return table(spark, d, "documents").select("doc_id", A.choice_index(F.substring("text", 1, 60), options).alias("picked"))
+    return table(spark, d, "documents").select("doc_id", A.choice_index("text", options).alias("picked"))
 
 
 @query(

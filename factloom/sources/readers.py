@@ -63,13 +63,13 @@ def options_jsonl(spark: SparkSession, path: str, dataset: str, split: str = "te
     """Questions with a map of options; the answer is the option that its label names, the image the first."""
     rows = jsonl(spark, path, "id string, question string, options map<string,string>, label string, images array<string>")
     answer = F.coalesce(F.try_element_at("options", F.col("label")), F.col("label"))
-    return _items(rows.withColumn("_answer", answer), dataset, split, "question", "_answer", F.col("id")).withColumn("image", F.lit(None).cast("string"))
+    return _items(rows.withColumn("_answer", answer), dataset, split, "question", "_answer", F.col("id"), F.get("images", F.lit(0)))
 
 
 def language_json(spark: SparkSession, path: str, dataset: str, split: str = "test", language: str = "en") -> DataFrame:
     """A JSON array of questions in one language, or in none."""
     rows = json_document(spark, path, "qid string, question string, answer string, q_lang string, img_name string")
-    return _items(rows.filter(F.lower(F.coalesce("q_lang", F.lit(""))).isin("", language)), dataset, split, "question", "answer", F.col("qid"))
+    return _items(rows.filter(F.lower(F.coalesce("q_lang", F.lit(""))).isin("", language)), dataset, split, "question", "answer", F.col("qid"), F.col("img_name"))
 
 
 def choice_tsv(spark: SparkSession, path: str, dataset: str, split: str = "test") -> DataFrame:
@@ -78,10 +78,11 @@ def choice_tsv(spark: SparkSession, path: str, dataset: str, split: str = "test"
     return _items(rows.drop("image"), dataset, split, "question", "answer", F.col("index") if "index" in rows.columns else None)
 
 
-def _items(rows: DataFrame, dataset: str, split: str, question: str, answer: str, key=None) -> DataFrame:
+def _items(rows: DataFrame, dataset: str, split: str, question: str, answer: str, key=None, image=None) -> DataFrame:
+    images = [] if image is None else [image.alias("image")]
     return rows.select(
         F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), (F.monotonically_increasing_id() if key is None else key).cast("string").alias("question_id"),
-        F.coalesce(question, F.lit("")).alias("question"), F.coalesce(answer, F.lit("")).alias("answer"),
+        F.coalesce(question, F.lit("")).alias("question"), F.coalesce(answer, F.lit("")).alias("answer"), *images,
     )
 
 
