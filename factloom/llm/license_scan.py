@@ -1,22 +1,30 @@
-"""License scans: MinHash bands over windows of a text retrieve notices, exact containment verifies them (operator 1).
+"""License scans: MinHash bands over windows of a text retrieve templates, exact containment verifies them (operator 1).
 
 All of it is DataFrame functions. Words are runs of a-z and 0-9 after lower
-casing; a shingle is SHINGLE words in a row. A notice of L shingles is looked
+casing; a shingle is SHINGLE words in a row. A template of L shingles is looked
 for in windows of w shingles, w the least power of two of 2 L or more, that
-start every w / 2, so that a notice in one piece lies within one window whole
-and is a quarter of it or more. Each of BANDS bands is one minimum: a notice of
-which a window has four fifths agrees with it in a band with probability 0.19
-or more, in none of 64 bands once in 700,000 cases.
-
-A window that has no shingle of any notice agrees with none, whatever the
-hashes, so only windows with such a shingle are hashed. What bands retrieve is
-verified on the words themselves: at least MIN_CONTAINED of a notice's distinct
-shingles must be in the window.
+start every w / 2, so that a template in one piece lies within one window whole
+and is a quarter of it or more. Each of BANDS bands is one minimum: a template
+of which a window has four fifths agrees with it in a band with probability
+0.19 or more, in none of 64 bands once in 700,000 cases.
+
+A window can agree in a band only if it holds the template's own minimum of
+that band. So a text is looked through for these minima first, at most BANDS
+for a template however long it is, and only windows that hold one are hashed,
+for its band alone: the same retrieval as hashing every window for every band.
+What bands retrieve is verified on the words themselves: at least
+MIN_CONTAINED of a template's distinct shingles must be in the window. Of
+findings that overlap in a text the one with the greatest share stays, then the
+one of the longer template; places of a template within one window may count
+as one.
+
+Templates are a table of license and text, of thousands of rows at most: their
+minima are constants of the plan.
 
 Defined cases: a null, empty or shorter text has no finding; rows that share
 doc_id and text give one finding; a null doc_id is kept; an empty table gives
 an empty result; only the key and text columns are read, so other columns may
-have any names.
+have any names; a template of less than SHINGLE words is never found.
 """
 
 from __future__ import annotations
@@ -25,113 +33,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, whole_text
+from .license_texts import TEMPLATES
 
 SHINGLE = 5
 BANDS = 64
 MIN_CONTAINED = 0.8
 
-#: The notices that the licenses themselves ask for or that are in common use.
-NOTICES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
-        "version.",
-    ),
-    (
-        "LGPL-3.0",
-        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
-        "version 3 of the License, or (at your option) any later version.",
-    ),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met:",
-    ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-)
-
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def _each(words: Column, made) -> Column:
+def _each(words: Column, made, empty: str) -> Column:
     """``made`` of every shingle; none of a text with fewer words."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-    return F.when(F.size(words) >= SHINGLE, F.transform(starts, lambda i: made(F.slice(words, i, SHINGLE))))
+    found = F.when(F.size(words) >= SHINGLE, F.transform(starts, lambda i: made(F.slice(words, i, SHINGLE))))
+    return F.coalesce(found, F.array().cast(f"array<{empty}>"))
 
 
 def hashes(words: Column) -> Column:
-    return F.coalesce(_each(words, F.xxhash64), F.array().cast("array<bigint>"))
+    return _each(words, F.xxhash64, "bigint")
 
 
 def strings(words: Column) -> Column:
-    return F.array_distinct(F.coalesce(_each(words, lambda s: F.concat_ws(" ", s)), F.array().cast("array<string>")))
-
-
-def _minima(shingles: Column) -> Column:
-    """The minimum of each band's hash."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, b))))
+    return _each(words, lambda s: F.concat_ws(" ", s), "string")
 
 
-def notices(spark: SparkSession, texts=NOTICES) -> DataFrame:
-    """notice, license, shingles as hashes and as strings, and the window's size for each of ``texts``."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "notice int, license string, text string")
-    made = rows.select("notice", "license", let(tokens(F.col("text")), lambda w: F.struct(hashes(w).alias("hashes"), strings(w).alias("parts"))).alias("s"))
+def known_templates(texts: DataFrame) -> DataFrame:
+    """notice (its number), license, shingles as hashes and as distinct strings, and the window's size for each of ``texts`` (notice, license, text)."""
+    made = texts.select("notice", "license", let(tokens(F.col("text")), lambda w: F.struct(F.array_distinct(hashes(w)).alias("hashes"), F.array_distinct(strings(w)).alias("parts"))).alias("s"))
     window = F.pow(F.lit(2.0), F.ceil(F.log2(2.0 * F.size("s.parts")))).cast("int")
     return made.filter(F.size("s.parts") > 0).select("notice", "license", "s.*", window.alias("window"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", texts=NOTICES, min_contained: float = MIN_CONTAINED) -> DataFrame:
-    """doc_id, license, notice, the greatest share of it in a window, and the words before the first such window."""
-    known = notices(docs.sparkSession, texts)
-    held = known.select("hashes", "window").collect()  # as long as the list of notices
-    marks = F.array(*(F.lit(h).cast("bigint") for h in sorted({h for r in held for h in r["hashes"]})))
-    sizes = sorted({r["window"] for r in held})
+def built_in(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "notice int, license string, text string")
+
+
+def minima(known: DataFrame) -> DataFrame:
+    """Of each template and band the shingle with the least hash (mark) and that hash (least)."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform("hashes", lambda x: F.struct(F.xxhash64(x, b).alias("least"), x.alias("mark")))))
+    return known.select("notice", "window", F.posexplode(bands).alias("band", "m")).select("notice", "window", "band", "m.least", "m.mark")
+
+
+def scan(docs: DataFrame, key: str = "doc_id", texts: DataFrame | None = None, min_contained: float = MIN_CONTAINED) -> DataFrame:
+    """doc_id, license, notice, its greatest share in one place, the words before the first place, and the number of places."""
+    spark = docs.sparkSession
+    known = known_templates(texts if texts is not None else built_in(spark))
+    bands = minima(known)
+    marks = [r["mark"] for r in bands.select("mark").distinct().collect()]  # BANDS a template at most
+    marked = (lambda x: x.isin(marks)) if marks else (lambda x: F.lit(False))
 
     body = whole_text()
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("h"), let(tokens(body), lambda w: F.struct(w.alias("words"), hashes(w).alias("hashes"))).alias("s"))
     # the words and hashes of the few texts with a mark are worked out once more, which is less than to keep those of all
-    rows = rows.filter(F.arrays_overlap("s.hashes", marks)).select("doc_id", "h", "s.*")
-
-    def windows(size: int) -> Column:
-        places = F.filter(F.transform("hashes", lambda x, i: F.when(F.array_contains(marks, x), i)), lambda i: i.isNotNull())
-        step = size // 2
-        starts = F.flatten(F.transform(places, lambda i: F.array(F.floor(i / step) * step, (F.floor(i / step) - 1) * step)))
-        return F.transform(F.filter(F.array_distinct(starts), lambda x: x >= 0), lambda x: F.struct(F.lit(size).alias("window"), x.cast("int").alias("start")))
-
-    each = rows.select("doc_id", "h", "words", "hashes", F.inline(F.flatten(F.array(*map(windows, sizes)))))
-    each = each.select(
-        "doc_id", "h", "window", "start",
-        F.slice("words", F.col("start") + 1, F.col("window") + SHINGLE - 1).alias("words"),
-        _minima(F.slice("hashes", F.col("start") + 1, F.col("window"))).alias("minima"),
+    rows = rows.filter(F.exists("s.hashes", marked)).select("doc_id", "h", "s.*")
+    places = F.filter(F.transform("hashes", lambda x, i: F.struct(x.alias("mark"), i.alias("at"))), lambda p: marked(p["mark"]))
+    hits = rows.select("doc_id", "h", "words", "hashes", F.inline(places)).join(F.broadcast(bands), "mark")
+
+    step = F.col("window") / 2
+    own = (F.floor(F.col("at") / step) * step).cast("int")
+    hits = hits.withColumn("start", F.explode(F.array(own, (own - step).cast("int")))).filter("start >= 0")
+    least = F.array_min(F.transform(F.slice("hashes", F.col("start") + 1, F.col("window")), lambda x: F.xxhash64(x, F.col("band"))))
+    agree = hits.filter(least == F.col("least")).select("doc_id", "h", "notice", "start", F.slice("words", F.col("start") + 1, F.col("window") + SHINGLE - 1).alias("words"))
+    agree = agree.dropDuplicates(["doc_id", "h", "notice", "start"])  # of up to BANDS bands
+
+    found = agree.join(F.broadcast(known.select("notice", "license", "parts")), "notice").withColumn("shingles", strings(F.col("words")))
+    held = F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("parts", s), i)), lambda i: i.isNotNull())
+    share = F.size(F.array_intersect("parts", "shingles")) / F.size("parts")
+    found = found.withColumn("contained", share).filter(F.col("contained") >= min_contained).withColumn("held", held)
+    one = F.struct(
+        "contained", F.size("parts").alias("n"), (-F.col("notice")).alias("back"), (-(F.col("start") + F.array_min("held"))).alias("from"), (-(F.col("start") + F.array_max("held") + SHINGLE)).alias("to"), "license"
     )
-    bands = known.select("notice", "window", F.posexplode(_minima(F.col("hashes"))).alias("band", "least"))
-    found = each.select("doc_id", "h", "window", "start", "words", F.posexplode("minima").alias("band", "least"))
-    # as many rows as notices and bands
-    found = found.join(F.broadcast(bands), ["window", "band", "least"])
-    parts = known.select("notice", "license", "parts")
-    contained = F.size(F.array_intersect("parts", strings(F.col("words")))) / F.size("parts")
-    found = found.join(F.broadcast(parts), "notice").withColumn("contained", contained).filter(F.col("contained") >= min_contained)
-    return found.groupBy("doc_id", "h", "license", "notice").agg(F.max("contained").alias("contained"), F.min("start").alias("first_word")).drop("h")
+    every = found.groupBy("doc_id", "h").agg(F.collect_set(one).alias("found"))  # as many as a text has places
+    # the fields are in the order by which a finding is better
+    beaten = lambda a: F.exists("found", lambda b: (b > a) & (a["from"] > b["to"]) & (b["from"] > a["to"]))
+    best = every.select("doc_id", "h", F.inline(F.filter("found", lambda a: ~beaten(a))))
+    out = best.groupBy("doc_id", "h", "license", (-F.col("back")).alias("notice")).agg(F.max("contained").alias("contained"), F.min(-F.col("from")).alias("first_word"), F.count(F.lit(1)).alias("n_places"))
+    return out.drop("h")

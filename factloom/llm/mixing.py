@@ -44,7 +44,9 @@ BUCKET_ROWS = 2_000
 #: Slots in a chunk by which slots and sources are joined, and shards in a group by which counts are summed.
 CHUNK_SLOTS, GROUP_SHARDS = 1 << 14, 1 << 10
 #: Rounds of a permutation.
-ROUNDS = 32
+ROUNDS = 24
+#: Slots that a task permutes, and the most tasks that do.
+TASK_SLOTS, MAX_TASKS = 1 << 13, 20_000
 
 
 def sources(rows: DataFrame) -> DataFrame:
@@ -139,7 +141,9 @@ def slots(known: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataF
     each = each.withColumns({"over": F.greatest(F.col("drawn") - F.col("n_slots"), F.lit(0)), "wanting": F.greatest(F.col("n_slots") - F.col("drawn"), F.lit(0))})
     each = stored(running_total(running_total(each.drop("first"), "sid", "over", "over_before"), "sid", "wanting", "first"), "sources")
     mine = broadcast_if_small(each.select("sid", "n_slots", "drawn", "over_before"))
-    found = numbered(counts).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1))).join(mine, "sid")
+    # a row for each shard and source is small, but stands for many slots
+    tasks = min(MAX_TASKS, -(-total // TASK_SLOTS) or 1)
+    found = numbered(counts).repartition(tasks, "shard", "sid").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1))).join(mine, "sid")
     number = F.col("before") + F.col("i")
     number = F.when(F.col("drawn") > F.col("n_slots"), permuted(number, F.col("drawn"), F.lit(seed), F.col("sid"))).otherwise(number)
     found = found.select("shard", "sid", number.alias("number"), "n_slots", "over_before")

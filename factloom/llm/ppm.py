@@ -235,20 +235,22 @@ def _score_keys(sent, order: int):
         names = ["doc_id", "h", "key", "count", "lp"]
         for ids, texts in _text_chunks(batches):
             key, sizes = text_keys(texts, order)
-            text = np.repeat(np.arange(len(ids)), sizes)
-            distinct, at = np.unique(key, return_inverse=True)
+            # keys have 48 bits and CHUNK_TEXTS is 2 ** 15 at most: one sort brings equal keys, and their texts, together
+            both = np.sort((key << 15) | np.repeat(np.arange(len(ids)), sizes))
+            key, text = both >> 15, both & (1 << 15) - 1
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            distinct, times = key[first], np.diff(np.append(first, len(key)))
             place = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
             known = keys[place] == distinct if len(keys) else np.zeros(len(distinct), bool)
             each = np.where(known, logs[place] if len(keys) else 0.0, 0.0)
-            lp = np.bincount(text, each[at], len(ids))
-            other = ~known[at]
-            rare, count = np.unique((at[other] << 15) | text[other], return_counts=True)  # CHUNK_TEXTS is 2 ** 15 at most
+            lp = np.bincount(text, np.repeat(each, times), len(ids))
+            rare, count = np.unique(both[~np.repeat(known, times)], return_counts=True)
             hashes = np.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], np.int64)
             docs, of = pa.array(ids, pa.int64()), rare & (1 << 15) - 1
             # a text's own row has a key that no byte has, another one in each text
             columns = [docs, pa.array(hashes), pa.array(-1 - np.abs(hashes >> 1)), pa.array(np.ones(len(ids), np.int64)), pa.array(lp)]
             yield pa.RecordBatch.from_arrays(columns, names)
-            columns = [docs.take(pa.array(of)), pa.array(hashes[of]), pa.array(distinct[rare >> 15]), pa.array(count), pa.array(np.zeros(len(rare)))]
+            columns = [docs.take(pa.array(of)), pa.array(hashes[of]), pa.array(rare >> 15), pa.array(count), pa.array(np.zeros(len(rare)))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run

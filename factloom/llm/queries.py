@@ -38,7 +38,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.search(table(spark, sf_dir, "documents"))
+    # texts keep most integers whole where words change, so a quarter of those within a bit is enough
+    return chroma.search(table(spark, sf_dir, "documents"), thinned=2)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality, secrets
+from . import license_scan, license_texts, quality, secrets
 
 def _weight(mean: str, extra: str) -> str:
     return f"CASE WHEN {extra} > 0 THEN least({quality.MAX_PRIOR}, greatest({quality.MIN_PRIOR}, {mean} * (1 - {mean}) / {extra} - 1)) ELSE {quality.MAX_PRIOR} END"
@@ -45,16 +45,18 @@ SELECT t.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access,
 """
 
 
-_NOTICES = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(license_scan.NOTICES))
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(license_texts.TEMPLATES))
 _SHINGLES = f"list_transform(range(1, len(ws) - {license_scan.SHINGLE - 2}), lambda i: array_to_string(ws[i : i + {license_scan.SHINGLE - 1}], ' '))"
 
-#: Every window of every text that shares a shingle with a notice, without bands.
+#: Every window of every text that shares a shingle with a template, without bands.
 OP1 = f"""
-WITH n AS (SELECT notice, license, list_distinct({_SHINGLES}) parts FROM (SELECT notice, license, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') ws FROM (VALUES {_NOTICES}) v(notice, license, x))),
+WITH n AS (SELECT notice, license, list_distinct({_SHINGLES}) parts FROM (SELECT notice, license, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') ws FROM (VALUES {_TEMPLATES}) v(notice, license, x))),
 s AS (SELECT notice, license, parts, CAST(pow(2, ceil(log2(2.0 * len(parts)))) AS BIGINT) win FROM n),
 t AS (SELECT doc_id, {_SHINGLES} sh FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda v: v <> '') ws FROM documents)),
-marked AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(sh) p FROM t) WHERE p IN (SELECT unnest(parts) FROM n)),
-w AS (SELECT doc_id, notice, license, parts, win, sh, unnest(range(0, len(sh), win // 2)) st FROM t JOIN marked USING (doc_id), s),
-c AS (SELECT doc_id, notice, license, st, len(list_intersect(parts, list_distinct(sh[st + 1 : st + win]))) / len(parts)::DOUBLE contained FROM w)
-SELECT doc_id, license, notice, max(contained) contained, CAST(min(st) AS INTEGER) first_word FROM c WHERE contained >= {license_scan.MIN_CONTAINED} GROUP BY doc_id, license, notice
+marked AS (SELECT doc_id, notice FROM (SELECT doc_id, unnest(sh) p FROM t) JOIN (SELECT notice, unnest(parts) p FROM n) USING (p) GROUP BY ALL),
+w AS (SELECT doc_id, notice, license, parts, win, sh, unnest(range(0, len(sh), win // 2)) st FROM t JOIN marked USING (doc_id) JOIN s USING (notice)),
+c AS (SELECT doc_id, notice, license, len(parts) n, st, len(list_intersect(parts, list_distinct(sh[st + 1 : st + win]))) / len(parts)::DOUBLE contained, list_filter(range(st, least(st + win, len(sh))), lambda i: list_contains(parts, sh[i + 1])) held FROM w),
+f AS (SELECT DISTINCT doc_id, notice, license, n, contained, list_min(held) a, list_max(held) + {license_scan.SHINGLE} b FROM c WHERE contained >= {license_scan.MIN_CONTAINED})
+SELECT doc_id, license, notice, max(contained) contained, min(a) first_word, count(*) n_places FROM f WHERE NOT EXISTS (
+  SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.a < f.b AND f.a < o.b AND (o.contained, o.n, -o.notice, -o.a, -o.b) > (f.contained, f.n, -f.notice, -f.a, -f.b)) GROUP BY doc_id, license, notice
 """

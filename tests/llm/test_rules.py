@@ -1,6 +1,7 @@
 """Quality rules, secrets and licenses against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from conftest_llm import rows_of
 
 from factloom.llm import license_scan, quality, secrets
+from factloom.llm.license_texts import TEMPLATES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,25 +111,36 @@ def test_secrets_of_hard_rows(clashing):
     assert secrets.scan(clashing.select("doc_id", "text", "h", "k")).count() == clashing.count()
 
 
-def contained(text):
-    words = re.findall("[a-z0-9]+", (text or "").lower())
-    own = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
-    out = set()
-    for i, (_, notice) in enumerate(license_scan.NOTICES):
-        w = re.findall("[a-z0-9]+", notice.lower())
-        parts = {" ".join(w[j : j + 5]) for j in range(len(w) - 4)}
-        if len(parts & own) >= 0.8 * len(parts):
-            out.add(i)
-    return out
-
-
 def test_licenses(frame):
+    """Each template alone, in capitals within other words, and twice is found as itself; parts of others and texts without any are not."""
     pad = " ".join(f"pad{i}" for i in range(333))
-    texts = [notice for _, notice in license_scan.NOTICES] + [f"{pad} {notice.upper()} {pad}" for _, notice in license_scan.NOTICES]
-    texts += [pad, "", None, "Released under the", license_scan.NOTICES[2][1].replace("charge", "cost")]
-    found = license_scan.scan(frame(texts)).collect()
-    assert {(r.doc_id, r.notice) for r in found} == {(i, n) for i, t in enumerate(texts) for n in contained(t)}
+    texts = [t for _, t in TEMPLATES]
+    n = len(texts)
+    far = " ".join([pad] * 5)
+    rows = texts + [f"{pad} {t.upper()} {pad}" for t in texts] + [f"{t} {far} {t}" for t in texts] + [pad, "", None, "Released under the"]
+    found = license_scan.scan(frame(rows)).collect()
+    assert {(r.doc_id, r.notice) for r in found} == {(k * n + i, i) for k in range(3) for i in range(n)}
+    assert all(r.contained == 1 and r.license == TEMPLATES[r.notice][0] and r.n_places == (2 if r.doc_id >= 2 * n else 1) and r.first_word == (333 if n <= r.doc_id < 2 * n else 0) for r in found)
+
+
+def test_damaged_licenses(frame):
+    """A word in forty is changed: the license is found, and its neighbours aren't taken for it."""
+    draw = random.Random(3)
+    long = [(name, t) for name, t in TEMPLATES if len(t.split()) > 60]
+    rows = [" ".join("changed" if draw.random() < 0.025 else w for w in t.split()) for _, t in long]
+    found = license_scan.scan(frame(rows)).collect()
+    assert len({r.doc_id for r in found}) >= len(long) - 1
+    assert all(r.license == long[r.doc_id][0] for r in found) and all(r.contained >= 0.8 for r in found)
+
+
+def test_templates_from_a_table(spark, frame):
+    own = " ".join(f"own{i}" for i in range(40))
+    texts = spark.createDataFrame([(7, "House-1.0", own), (8, "Short", "too few")], "notice int, license string, text string")
+    found = license_scan.scan(frame([f"x y z {own} a b", TEMPLATES[0][1]]), texts=texts).collect()
+    assert [(r.doc_id, r.license, r.first_word) for r in found] == [(0, "House-1.0", 3)]
 
 
-def test_licenses_of_hard_rows(clashing):
+def test_licenses_of_hard_rows(clashing, frame):
     assert license_scan.scan(clashing).count() == 0
+    twice = frame([(1, TEMPLATES[0][1], "a"), (1, TEMPLATES[0][1], "b"), (None, TEMPLATES[0][1], "a"), (2, TEMPLATES[0][1], None)])
+    assert sorted((str(r.doc_id), r.notice, r.n_places) for r in license_scan.scan(twice).collect()) == [("1", 0, 1), ("2", 0, 1), ("None", 0, 1)]
