@@ -78,31 +78,38 @@ _BOILERPLATE = (
     r"(?i)(html\{|body\{|font-family|@media|display:|window\.|document\.|datalayer|gtm|log in|\bmenu\b|find a journal|publish with us|submit manuscript|"
     r"search by keyword or author|your privacy choices|accessibility statement|terms and conditions|privacy policy|advertisement|copy shareable link|saved research|\bcart\b|springer nature)"
 )
-_SECTIONS = r"(?i)\b(abstract|introduction|methods?|results?|discussion|conclusion|references|author information|ethics declarations)\b"
+_SECTION_WORDS = ("abstract", "introduction", "methods?", "results?", "discussion", "conclusion", "references", "author information", "ethics declarations")
+_SECTIONS = rf"(?i)\b({'|'.join(_SECTION_WORDS)})\b"
+#: A page is parted at these; a conclusion is no part of its own.
+_PARTING = f"(?i)({'|'.join(w for w in _SECTION_WORDS if w != 'conclusion')})"
 
 
 def is_article(x, title, min_chars: int = 1200) -> Column:
     """Whether a page's text is that of an article: long, little boilerplate, sentences, and words of its title."""
-    body = T.normalize_text(x)
-    low = F.lower(body)
-    sentences = F.regexp_count(body, F.lit(r"[A-Z][^.?!]{40,}[.?!]"))
-    code = sum((F.regexp_count(low, F.lit(p)) for p in (r"window\.", r"document\.", "font-family", "@media")), F.lit(0))
-    words = F.filter(F.split(T.normalize_keyword(title), " "), lambda w: F.length(w) > 3)
-    titled = (F.size(words) == 0) | F.exists(words, lambda w: F.contains(low, w))
-    sectioned = body.rlike(_SECTIONS) | (sentences >= 3)
-    return (F.length(body) >= max(min_chars, 200)) & (F.regexp_count(body, F.lit(_BOILERPLATE)) < 8) & (code < 2) & (sentences >= 2) & titled & sectioned
+
+    def judged(body: Column, low: Column, sentences: Column) -> Column:
+        code = sum((F.regexp_count(low, F.lit(p)) for p in (r"window\.", r"document\.", "font-family", "@media")), F.lit(0))
+        words = F.filter(F.split(T.normalize_keyword(title), " "), lambda w: F.length(w) > 3)
+        titled = (F.size(words) == 0) | F.exists(words, lambda w: F.contains(low, w))
+        sectioned = body.rlike(_SECTIONS) | (sentences >= 3)
+        return (F.length(body) >= max(min_chars, 200)) & (F.regexp_count(body, F.lit(_BOILERPLATE)) < 8) & (code < 2) & (sentences >= 2) & titled & sectioned
+
+    sentences = lambda body: F.regexp_count(body, F.lit(r"[A-Z][^.?!]{40,}[.?!]"))
+    return T.let(T.normalize_text(x), lambda body: T.let(F.lower(body), lambda low: T.let(sentences(body), lambda n: judged(body, low, n))))
 
 
 def landing_text(x) -> Column:
     """A page's pieces between section words, without boilerplate, short ones and repeats."""
-    marked = F.regexp_replace(F.regexp_replace(T.html_text(x), r" \| ", "\n"), r"(?i)(abstract|introduction|methods?|results?|discussion|references|author information|ethics declarations)", "\n$1\n")
-    pieces = F.filter(F.transform(F.split(marked, r"[\n\r]+"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(_BOILERPLATE) & ((F.length(p) >= 40) | p.rlike(_SECTIONS)))
+
+    def pieces(text: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(text, r" \| ", "\n"), _PARTING, "\n$1\n")
+        return F.filter(F.transform(F.split(marked, r"[\n\r]+"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(_BOILERPLATE) & ((F.length(p) >= 40) | p.rlike(_SECTIONS)))
 
     def distinct(found: Column) -> Column:
         keys = F.transform(found, lambda p: F.lower(p))
-        return F.filter(found, lambda p, i: F.array_position(keys, F.lower(p)) == i + 1)
+        return T.let(keys, lambda k: F.filter(found, lambda p, i: F.array_position(k, F.lower(p)) == i + 1))
 
-    return F.array_join(F.get(F.transform(F.array(pieces), distinct), F.lit(0)), "\n")
+    return F.array_join(T.let(T.let(T.html_text(x), pieces), distinct), "\n")
 
 
 def is_control_free(x) -> Column:

@@ -13,6 +13,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once: a lambda's variable can't be copied into every place that mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(x) -> Column:
     """NULs to spaces, runs of white space to one space, ends stripped; null gives ''."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(x).cast("string"), F.lit("")), "\\x00", " "), WS, " "))

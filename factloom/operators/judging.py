@@ -44,3 +44,17 @@ def repaired(claims: DataFrame, judgments: DataFrame, key: str = "claim_id") ->
     """Claims with their judgment and what to do about it: repair what is refuted, check what can't be verified, keep the rest."""
     action = F.when(F.col("verdict") == "refuted", "repair").when(F.coalesce(F.col("verdict") == "supported", F.lit(False)), "keep").otherwise("check")
     return claims.join(judgments.select(key, "verdict"), key, "left").withColumn("action", action)
+
+
+def summary(judgments: DataFrame, key: str) -> DataFrame:
+    """By key: judgments, and how many say yes to a hallucination and to an error of verification."""
+    yes = lambda c: F.count_if(F.lower(F.trim(F.coalesce(c, F.lit("")))) == "yes")
+    return judgments.groupBy(key).agg(F.count(F.lit(1)).alias("n_judgments"), yes("hallucination").alias("n_hallucination"), yes("verification_error").alias("n_verification_error"))
+
+
+def ranked(concepts: DataFrame, key: str, wrong: str, turn: str) -> DataFrame:
+    """Concepts of a sample numbered: those found wrong first, then by turn, those without one last, then by name."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy(key).orderBy(F.when(F.col(wrong), 0).otherwise(1), F.col(turn).asc_nulls_last(), "concept")  # as many as a sample has
+    return concepts.withColumn("place", F.row_number().over(by))

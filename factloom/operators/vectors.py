@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.storage import stored
+
 #: Queries that tasks compare with a batch of vectors at once.
 BLOCK = 4096
 
@@ -38,16 +40,17 @@ def _best(queries, k: int):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 1, floor: float = -1.0) -> DataFrame:
     """query, id and similarity of each query's ``k`` most alike vectors (id, vector) other than itself, above ``floor``.
 
-    Queries go to the tasks in blocks of a fixed number; each task keeps its
-    best ``k`` of every query, and these are merged. Ties go to the lower id.
+    Queries go to the tasks in ranges of about BLOCK, a pass over the vectors
+    each; each task keeps its best ``k`` of every query, and these are merged. Ties go to the lower id.
     """
     import numpy as np
 
     spark = vectors.sparkSession
-    ids = [r["id"] for r in queries.select("id").orderBy("id").toLocalIterator()]
+    blocks = -(-queries.count() // BLOCK)
+    dealt = stored(queries.repartitionByRange(max(1, blocks), "id").select("id", "vector", F.spark_partition_id().alias("block")), "queries")
     out = None
-    for at in range(0, len(ids), BLOCK):
-        block = queries.filter(F.col("id").between(ids[at], ids[min(at + BLOCK, len(ids)) - 1])).toArrow()
+    for i in range(blocks):
+        block = dealt.filter(F.col("block") == i).toArrow()
         sent = spark.sparkContext.broadcast((block.column("id").to_numpy(), np.array(block.column("vector").to_pylist(), dtype=np.float64)))
         part = vectors.select("id", "vector").mapInArrow(_best(sent, k), "query bigint, id bigint, similarity double")
         out = part if out is None else out.union(part)

@@ -128,7 +128,16 @@ def option_order(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(evidence.permuted(options, F.col("item_id"), "s"), ",").alias("options"))
 
 
-@query()
+_PIECE = f"p <> '' AND NOT regexp_matches(p, '{C._BOILERPLATE}') AND (length(p) >= 40 OR regexp_matches(p, '{C._SECTIONS}'))"
+
+
+@query(
+    rf"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) t FROM pages),
+    m AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(t, ' | ', chr(10)), '{C._PARTING}', chr(10) || '\1' || chr(10), 'g'), '[\n\r]+'), lambda p: trim(p)), lambda p: {_PIECE}) ps, lower(t) low,
+      len(regexp_extract_all(t, '[A-Z][^.?!]{{40,}}[.?!]')) n, list_filter(string_split(trim(regexp_replace(lower(title), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 3) ws FROM h)
+    SELECT page_id, length(array_to_string(list_filter(ps, lambda p, i: list_position(list_transform(ps, lambda x: lower(x)), lower(p)) = i), chr(10))) n_chars,
+      length(t) >= 200 AND len(regexp_extract_all(t, '{C._BOILERPLATE}')) < 8 AND len(regexp_extract_all(low, 'window\.|document\.|font-family|@media')) < 2 AND n >= 2 AND (len(ws) = 0 OR len(list_filter(ws, lambda w: contains(low, w))) > 0) AND (n >= 3 OR regexp_matches(t, '{C._SECTIONS}')) AS is_article FROM m"""
+)
 def landing_pages(spark, d):
     """Pages as articles: their cleaned text's length and whether they pass for one."""
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)

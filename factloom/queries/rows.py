@@ -115,7 +115,16 @@ def quota_select(spark, d):
     return sampling.allocated(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", _quota(spark, d)).select("doc_id", "lang")
 
 
-@query()
+def _picks(n: int) -> str:
+    """``n`` greedy choices, each a step of its own."""
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT l_suppkey id, p_brand || '/' || p_size item FROM lineitem JOIN part ON l_partkey = p_partkey)"]
+    for i in range(1, n + 1):
+        steps.append(f"p{i} AS MATERIALIZED (SELECT id, count(*) gain FROM l{i - 1} GROUP BY id ORDER BY gain DESC, id LIMIT 1)")
+        steps.append(f"l{i} AS MATERIALIZED (SELECT * FROM l{i - 1} WHERE item NOT IN (SELECT item FROM l{i - 1} JOIN p{i} USING (id)))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {i} pick, id, gain FROM p{i}" for i in range(1, n + 1))
+
+
+@query(_picks(5))
 def greedy_cover(spark, d):
     """The suppliers that cover most brands, one after another; each choice rests on those before it."""
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
