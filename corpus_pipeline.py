@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a document, with the words that it takes; texts without words are in no pass, repeated rows count as one."""
+    """A row for each pass over a document, with the words that it takes; texts without words are in no pass, repeated rows are documents of their own."""
     return mixing.mix_rows(docs)
 
 
