@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, license_scan, line_chunks, mixing, packing, ppm, quality, secrets, simhash, sql, token_files
+from . import chroma, license_scan, line_chunks, mixing, negatives, packing, ppm, quality, secrets, simhash, sql, token_files
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.with_wrong_labels(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op1_license_scan": sql.OP1, "op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8}
+SQL: dict[str, str] = {"op1_license_scan": sql.OP1, "op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8, "op11_hard_negatives": sql.OP11}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, license_texts, quality, secrets
+from . import license_scan, license_texts, negatives, quality, secrets
 
 def _weight(mean: str, extra: str) -> str:
     return f"CASE WHEN {extra} > 0 THEN least({quality.MAX_PRIOR}, greatest({quality.MIN_PRIOR}, {mean} * (1 - {mean}) / {extra} - 1)) ELSE {quality.MAX_PRIOR} END"
@@ -60,3 +60,15 @@ f AS (SELECT DISTINCT doc_id, notice, license, n, contained, list_min(held) a, l
 SELECT doc_id, license, notice, max(contained) contained, min(a) first_word, count(*) n_places FROM f WHERE NOT EXISTS (
   SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.a < f.b AND f.a < o.b AND (o.contained, o.n, -o.notice, -o.a, -o.b) > (f.contained, f.n, -f.notice, -f.a, -f.b)) GROUP BY doc_id, license, notice
 """
+
+
+#: All scores of all anchors.
+OP11 = f"""
+WITH r AS (SELECT row_number() OVER () i, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.i, a.vec_id anchor_id, b.vec_id, a.label = b.label same, CAST(list_inner_product(a.v, b.v) AS BIGINT) score FROM r a JOIN r b ON a.i <> b.i WHERE a.vec_id % {negatives.ANCHORS} = 0),
+p AS (SELECT * FROM (SELECT i, anchor_id, vec_id positive_id, score positive_score, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) place FROM s WHERE same) WHERE place <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.*, s.vec_id negative_id, s.score negative_score, row_number() OVER (PARTITION BY p.i, p.place ORDER BY s.score DESC, s.vec_id) rank FROM p JOIN s ON p.i = s.i AND NOT s.same
+  AND {negatives.LEAST} * positive_score <= 100 * s.score AND 100 * s.score <= {negatives.MOST} * positive_score) WHERE rank <= {negatives.NEGATIVES}
+"""
