@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, license_scan, line_chunks, mixing, negatives, packing, ppm, quality, secrets, simhash, sql, token_files
+from . import chroma, decontaminate, license_scan, line_chunks, mixing, negatives, packing, ppm, quality, secrets, simhash, sql, token_files
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.with_wrong_labels(table(spark, sf_dir, "embeddings")))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_decontamination": op12_decontamination,
 }
 
-SQL: dict[str, str] = {"op1_license_scan": sql.OP1, "op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8, "op11_hard_negatives": sql.OP11}
+SQL: dict[str, str] = {"op1_license_scan": sql.OP1, "op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8, "op11_hard_negatives": sql.OP11, "op12_decontamination": sql.OP12}
