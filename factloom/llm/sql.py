@@ -81,10 +81,10 @@ def _small_words(text: str) -> str:
 #: All windows of all texts, without fingerprints.
 OP12 = f"""
 WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') item, {_small_words("text")} ws FROM benchmark),
-w AS (SELECT DISTINCT item, m, array_to_string(ws[at : at + m - 1], ' ') g FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) at FROM (SELECT *, least({decontaminate.WINDOW}, len(ws)) m FROM i WHERE len(ws) > 0))),
+w AS (SELECT DISTINCT item, m, array_to_string(ws[st : st + m - 1], ' ') g FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) st FROM (SELECT *, least({decontaminate.WINDOW}, len(ws)) m FROM i WHERE len(ws) > 0))),
 d AS (SELECT row_number() OVER () r, doc_id, {_small_words("text")} ws FROM documents),
-o AS (SELECT r, at, m, g FROM (SELECT r, at, m, array_to_string(ws[at : at + m - 1], ' ') g FROM (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) at FROM d, (SELECT DISTINCT m FROM w))) WHERE g IN (SELECT g FROM w)),
-c AS (SELECT r, count(DISTINCT p) n_hit FROM (SELECT r, unnest(range(at, at + m)) p FROM o) GROUP BY r),
+o AS (SELECT r, st, m, g FROM (SELECT r, st, m, array_to_string(ws[st : st + m - 1], ' ') g FROM (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) st FROM d, (SELECT DISTINCT m FROM w))) WHERE g IN (SELECT g FROM w)),
+c AS (SELECT r, count(DISTINCT p) n_hit FROM (SELECT r, unnest(range(st, st + m)) p FROM o) GROUP BY r),
 n AS (SELECT r, count(*) n_items, string_agg(item, ',' ORDER BY item) ids FROM (SELECT DISTINCT r, item FROM (SELECT DISTINCT r, g FROM o) JOIN w USING (g)) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, n_hit IS NOT NULL contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)
 """
