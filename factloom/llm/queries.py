@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, license_scan, line_chunks, mixing, negatives, packing, ppm, quality, secrets, simhash, sql, token_files
+from . import chroma, decontaminate, dialogues, license_scan, line_chunks, mixing, negatives, packing, ppm, quality, secrets, simhash, sql, token_files
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return dialogues.audited(dialogues.damaged(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_decontamination": op12_decontamination,
+    "op13_dialogue_repair": op13_dialogue_repair,
 }
 
 SQL: dict[str, str] = {"op1_license_scan": sql.OP1, "op5_secret_scan": sql.OP5, "op8_quality_rules": sql.OP8, "op11_hard_negatives": sql.OP11, "op12_decontamination": sql.OP12}
