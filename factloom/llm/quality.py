@@ -1,11 +1,12 @@
 """Document quality rules with verdicts per host (operator 8).
 
 All of it is DataFrame functions. A document fails a rule by its own text. For
-each rule, the share of a host's documents that fail it is shrunk towards the
-corpus by a beta prior fitted to all hosts. A host is rejected when a rule's
-shrunk rate is more than DEVIATIONS of the prior's standard deviations above
-the prior's mean, that is when it fails as a host of this corpus hardly would,
-or above MAX_HOST_RATE however much the hosts differ.
+each rule, and for failing any, the share of a host's documents that fail is
+shrunk towards the corpus by a beta prior fitted to all other hosts, so that a
+host has no part in what it is judged by. A host is rejected when a shrunk rate
+is more than DEVIATIONS above the prior's mean, a deviation being that of the
+shrunk rates which hosts of this size would have under the prior, or above
+MAX_HOST_RATE however much the hosts differ.
 
 Defined cases: a null or empty text has no words and fails; a null host is a
 host of its own; repeated rows each count and each get a verdict; an empty
@@ -25,7 +26,7 @@ from .common import broadcast_if_small, column, let, stored, whole_text, words
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected when a shrunk rate is more than so many deviations of the prior above its mean, or above this rate.
+#: A host is rejected when a shrunk rate is more than so many deviations above the prior's mean, or above this rate.
 DEVIATIONS, MAX_HOST_RATE = 4.0, 0.6
 #: Bounds of the fitted prior's weight, in documents; the upper one keeps hosts that differ little from others.
 MIN_PRIOR, MAX_PRIOR = 2.0, 100.0
@@ -79,6 +80,11 @@ def rules() -> dict[str, Column]:
     return {"short": F.col("n_words") < MIN_WORDS, "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")}
 
 
+def host_rules() -> dict[str, Column]:
+    """What is looked at by host: each rule, and whether any failed."""
+    return rules() | {"any": failed()}
+
+
 def failed() -> Column:
     return reduce(lambda a, b: a | b, rules().values())
 
@@ -91,33 +97,39 @@ def measure(docs: DataFrame, host: str = "source", key: str = "doc_id") -> DataF
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """One row per host: documents, and each rule's failures, shrunk rate and bound (n_, rate_ and most_ with its name); host_rejected.
+    """One row per host: documents, and failures, shrunk rate and bound (n_, rate_ and most_) of each rule and of any; host_rejected.
 
-    A prior is fitted to a rule by moments of the hosts' rates: its mean is the
-    mean over hosts and its weight is what the spread between hosts leaves
-    after the spread that counting alone explains.
+    A host's prior is fitted by moments of the other hosts' rates: its mean is
+    theirs, one document of theirs at least, and its weight is what the spread
+    between them leaves after the spread that counting alone explains. Sums
+    over all hosts are one row; each host takes its own part out again.
     """
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.count_if(rule).alias(f"n_{name}") for name, rule in rules().items()))
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.count_if(rule).alias(f"n_{name}") for name, rule in host_rules().items()))
     hosts = stored(hosts, "hosts")
-    share = {name: F.col(f"n_{name}") / F.col("n_docs") for name in rules()}
-    moments = [f(x).alias(f"{what}_{name}") for name, x in share.items() for what, f in (("mean", F.avg), ("var", F.var_pop))]
-    fitted = hosts.agg(F.avg(1 / F.col("n_docs")).alias("per_doc"), *moments).first()
+    n = F.col("n_docs")
+    share = {name: F.col(f"n_{name}") / n for name in host_rules()}
+    moments = [f.alias(f"{what}_{name}") for name, x in share.items() for what, f in (("first", F.sum(x)), ("second", F.sum(x * x)))]
+    total = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs"), F.sum(1 / n).alias("per_doc"), *moments).first()
+    others = max(total["hosts"] - 1, 1)
+    left = lambda whole, own: (F.lit(float(whole or 0)) - own) / others if total["hosts"] > 1 else own
     bad = F.lit(False)
-    for name in rules():
-        mean = fitted[f"mean_{name}"] or 0.0
+    for name, x in share.items():
+        raw = left(total[f"first_{name}"], x)
+        mean = F.greatest(raw, 1 / (F.lit(total["docs"] or 0) - n + 1)) if total["hosts"] > 1 else raw
         spread = mean * (1 - mean)
-        extra = (fitted[f"var_{name}"] or 0.0) - spread * (fitted["per_doc"] or 0.0)
-        weight = min(MAX_PRIOR, max(MIN_PRIOR, spread / extra - 1)) if extra > 0 else MAX_PRIOR
-        rate = (F.col(f"n_{name}") + mean * weight) / (F.col("n_docs") + weight)
-        most = min(MAX_HOST_RATE, mean + DEVIATIONS * (spread / (weight + 1)) ** 0.5)
-        hosts = hosts.withColumns({f"rate_{name}": rate, f"most_{name}": F.lit(most)})
+        extra = left(total[f"second_{name}"], x * x) - raw * raw - spread * left(total["per_doc"], 1 / n)
+        weight = F.when(extra > 0, F.least(F.lit(MAX_PRIOR), F.greatest(F.lit(MIN_PRIOR), spread / extra - 1))).otherwise(MAX_PRIOR)
+        hosts = hosts.withColumns({"_mean": mean, "_spread": spread, "_weight": weight})
+        rate = (F.col(f"n_{name}") + F.col("_mean") * F.col("_weight")) / (n + F.col("_weight"))
+        deviation = F.sqrt(F.col("_spread") / (F.col("_weight") + 1) * n / (n + F.col("_weight")))
+        hosts = hosts.withColumns({f"rate_{name}": rate, f"most_{name}": F.least(F.lit(MAX_HOST_RATE), F.col("_mean") + DEVIATIONS * deviation)}).drop("_mean", "_spread", "_weight")
         bad |= F.col(f"rate_{name}") > F.col(f"most_{name}")
     return hosts.withColumn("host_rejected", bad)
 
 
 def judged(docs: DataFrame, measured: DataFrame, host: str = "host") -> DataFrame:
     """``docs``, which has ``measured``'s columns, with its host's verdict and ``kept``."""
-    verdicts = host_rates(measured).select(F.col("host").alias("_h"), *(f"rate_{name}" for name in rules()), "host_rejected")
+    verdicts = host_rates(measured).select(F.col("host").alias("_h"), *(f"rate_{name}" for name in host_rules()), "host_rejected")
     out = docs.join(broadcast_if_small(verdicts), F.col(host).eqNullSafe(F.col("_h")), "left").drop("_h")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
 

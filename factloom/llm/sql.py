@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from . import decontaminate, license_scan, license_texts, negatives, quality, secrets
 
-def _weight(mean: str, extra: str) -> str:
-    return f"CASE WHEN {extra} > 0 THEN least({quality.MAX_PRIOR}, greatest({quality.MIN_PRIOR}, {mean} * (1 - {mean}) / {extra} - 1)) ELSE {quality.MAX_PRIOR} END"
+def _left(whole: str, own: str) -> str:
+    """What is left of a sum over hosts for the mean of the others; a host alone has its own."""
+    return f"CASE WHEN hosts > 1 THEN ({whole} - {own}) / (hosts - 1) ELSE {own} END"
 
 
+_RATES = ("short", "repeats", "failing")
+_SUMS = ", ".join(f"sum({x}) first_{x}, sum({x} * {x}) second_{x}" for x in _RATES)
+_PRIORS = ", ".join(f"{_left(f'first_{x}', x)} raw_{x}, {_left(f'second_{x}', f'{x} * {x}')} square_{x}" for x in _RATES)
+_MEANS = ", ".join(f"CASE WHEN hosts > 1 THEN greatest(raw_{x}, 1.0 / (docs - n + 1)) ELSE raw_{x} END mean_{x}" for x in _RATES)
+_EXTRA = ", ".join(f"square_{x} - raw_{x} * raw_{x} - mean_{x} * (1 - mean_{x}) * each extra_{x}" for x in _RATES)
+_WEIGHTS = ", ".join(f"CASE WHEN extra_{x} > 0 THEN least({quality.MAX_PRIOR}, greatest({quality.MIN_PRIOR}, mean_{x} * (1 - mean_{x}) / extra_{x} - 1)) ELSE {quality.MAX_PRIOR} END weight_{x}" for x in _RATES)
+_SHRUNK = ", ".join(f"({x} * n + mean_{x} * weight_{x}) / (n + weight_{x}) rate_{x}, least({quality.MAX_HOST_RATE}, mean_{x} + {quality.DEVIATIONS} * sqrt(mean_{x} * (1 - mean_{x}) / (weight_{x} + 1) * n / (n + weight_{x}))) most_{x}" for x in _RATES)
+
 OP8 = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') x FROM documents),
 w AS (SELECT doc_id, source, x, list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda v: v <> '') ws,
@@ -18,12 +27,12 @@ covered AS (SELECT doc_id, sum(least({quality.WINDOW}, coalesce(next - i, {quali
 m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) n_words, length(array_to_string(ws, '')) word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) n_repeat_words FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) n, count(*) FILTER (n_words < {quality.MIN_WORDS}) bad1, count(*) FILTER (100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) bad2 FROM f GROUP BY source),
-p AS (SELECT avg(bad1 / n) m1, avg(bad2 / n) m2, var_pop(bad1 / n) - m1 * (1 - m1) * avg(1.0 / n) e1, var_pop(bad2 / n) - m2 * (1 - m2) * avg(1.0 / n) e2 FROM h),
-q AS (SELECT m1, m2, {_weight("m1", "e1")} w1, {_weight("m2", "e2")} w2 FROM p),
-r AS (SELECT source, (bad1 + m1 * w1) / (n + w1) rate_short, (bad2 + m2 * w2) / (n + w2) rate_repeats,
-  (bad1 + m1 * w1) / (n + w1) > least({quality.MAX_HOST_RATE}, m1 + {quality.DEVIATIONS} * sqrt(m1 * (1 - m1) / (w1 + 1))) OR (bad2 + m2 * w2) / (n + w2) > least({quality.MAX_HOST_RATE}, m2 + {quality.DEVIATIONS} * sqrt(m2 * (1 - m2) / (w2 + 1))) rejected FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, round(rate_short, 6) rate_short, round(rate_repeats, 6) rate_repeats
+h AS (SELECT source, count(*) n, count(*) FILTER (n_words < {quality.MIN_WORDS}) / count(*) short, count(*) FILTER (100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) / count(*) repeats, count(*) FILTER (base_failed) / count(*) failing FROM f GROUP BY source),
+p AS (SELECT count(*) hosts, sum(n) docs, sum(1.0 / n) per_doc, {_SUMS} FROM h),
+q1 AS (SELECT *, {_left("per_doc", "1.0 / n")} each, {_PRIORS} FROM h, p),
+q2 AS (SELECT *, {_MEANS} FROM q1), q3 AS (SELECT *, {_EXTRA} FROM q2), q4 AS (SELECT *, {_WEIGHTS} FROM q3), q5 AS (SELECT *, {_SHRUNK} FROM q4),
+r AS (SELECT source, rate_short, rate_repeats, rate_failing rate_any, {" OR ".join(f"rate_{x} > most_{x}" for x in _RATES)} rejected FROM q5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, round(rate_short, 6) rate_short, round(rate_repeats, 6) rate_repeats, round(rate_any, 6) rate_any
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 

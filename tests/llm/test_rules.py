@@ -60,6 +60,24 @@ def test_a_host_that_stands_out_goes(frame):
     assert by_host["junk"].n_short + by_host["junk"].n_repeats == 37 and by_host["near"].rate_short < by_host["near"].most_short
 
 
+def test_share_from_which_a_host_goes(frame):
+    """One host of 110 documents among 18 that fail ten: it stays while it fails up to 20 and goes from 30 on, whichever rules these are."""
+    clean, loop = " ".join(f"w{i}" for i in range(30)), "the same eight words again and again and " * 9
+    for bad in ("short", None):
+        gone = {}
+        for n in (10, 20, 30, 90):
+            hosts = {f"h{k:02}": 10 for k in range(18)} | {"one": n}
+            rows = [(110 * k + i, (bad or ("short" if i % 2 else loop)) if i < m else clean, h) for k, (h, m) in enumerate(hosts.items()) for i in range(110)]
+            gone[n] = {r.host for r in quality.host_rates(quality.measure(frame(rows))).filter("host_rejected").collect()}
+        assert gone == {n: {"one"} if n >= 30 else set() for n in gone}
+
+
+def test_one_failure_among_clean_hosts_stays(frame):
+    clean = " ".join(f"w{i}" for i in range(30))
+    rows = [(20 * h + i, "short" if (h, i) == (0, 0) else clean, f"h{h}") for h in range(6) for i in range(20)]
+    assert quality.quality_rules(frame(rows)).filter("kept").count() == 119
+
+
 def test_empty_tables(frame):
     none = frame([])
     assert quality.quality_rules(none).count() == quality.keep_good(none).count() == 0
