@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.plans.components import connected_components
 from factloom.plans.ranks import percent_rank
+from factloom.functions.text import normalize_keyword
+from factloom.operators.vectors import alike
 from factloom.plans.storage import broadcast_if_small, drop_stored, stored
 
 
@@ -77,17 +79,29 @@ def fused_groups(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
     ``names`` has node and name, ``pairs`` u and v, nodes that match otherwise.
     Nodes of one name match without being paired: each is linked to the least
-    of its name. The canonical name has most words, then most letters.
+    of its name; those without a name match none. The canonical name has most
+    words, then most letters.
     """
-    key = F.lower(F.trim("name"))
+    key = normalize_keyword(F.coalesce("name", F.lit("")))
     least = names.groupBy(key.alias("k")).agg(F.min("node").alias("v"))
-    same = names.withColumn("k", key).join(least, "k").select(F.col("node").alias("u"), "v")
+    same = names.withColumn("k", key).join(least, "k").select(F.col("node").alias("u"), F.when(F.col("k") != "", F.col("v")).otherwise(F.col("node")).alias("v"))
     found = stored(connected_components(pairs.select("u", "v").union(same)), "groups")
     named = found.join(names, "node")
-    best = F.max_by("name", F.struct(F.size(F.split("name", r"\s+")), F.length("name"), F.lower("name")))
+    best = F.max_by("name", F.struct(F.size(F.split(normalize_keyword(F.col("name")), " ")), F.length("name"), F.lower("name")))
     return named.join(named.groupBy("component").agg(best.alias("canonical"), F.count(F.lit(1)).alias("size")), "component").select("node", F.col("component").alias("group"), "canonical", "size")
 
 
+def fused(nodes: DataFrame, floor: float = 0.9) -> DataFrame:
+    """``fused_groups`` of ``nodes`` (node, name, type, vector): equal names, or types that agree and vectors of a cosine of ``floor`` or more.
+
+    Also node_type, that of a group's least node with one. A null or empty type agrees with any.
+    """
+    links = alike(nodes.select(F.col("node").alias("id"), F.col("type").alias("kind"), "vector"), floor, links=True)
+    groups = stored(fused_groups(links, nodes.select("node", "name")), "fused")
+    typed = groups.join(nodes.filter("type <> ''").select("node", "type"), "node").groupBy("group").agg(F.min_by("type", F.struct("node", "type")).alias("node_type"))
+    return groups.join(typed, "group", "left").select("node", "group", "canonical", "size", "node_type")
+
+
 def relabelled(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """``edges`` with both ends replaced by ``mapping`` (node, canonical), then parallel edges merged."""
     m = broadcast_if_small(mapping.select(F.col("node").alias("_n"), F.col("canonical").alias("_c")))

@@ -203,6 +203,21 @@ def fusion_groups(spark, d):
     return graph.fused_groups(names.select(F.col("node").alias("u"), F.col("node").alias("v")), names)
 
 
+@query(
+    """WITH RECURSIVE n AS (SELECT vec_id node, p_name || ' ' || p_brand || ' ' || p_size AS name, nullif(lang, 'es') AS type, embedding::DOUBLE[] v FROM embeddings LEFT JOIN documents ON doc_id = vec_id LEFT JOIN part ON p_partkey = vec_id),
+    l AS MATERIALIZED (SELECT a.node u, b.node v FROM n a JOIN n b ON a.node <> b.node AND (a.name = b.name OR ((a.type IS NULL OR b.type IS NULL OR a.type = b.type) AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.42))),
+    r AS (SELECT node, node g FROM n UNION SELECT r.node, l.v FROM r JOIN l ON r.g = l.u), g AS (SELECT node, min(g) g FROM r GROUP BY node)
+    SELECT g.node, g AS "group", first_value(name) OVER (PARTITION BY g ORDER BY len(string_split(name, ' ')) DESC, length(name) DESC, lower(name) DESC) canonical, count(*) OVER (PARTITION BY g) size,
+      first_value(type) OVER (PARTITION BY g ORDER BY type IS NULL, g.node) node_type FROM g JOIN n USING (node)"""
+)
+def entity_fusion(spark, d):
+    """Vectors as entities, with a part's name and a document's language as their type, fused by name or by cosine."""
+    e, doc, part = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("embeddings", "documents", "part"))
+    nodes = e.join(doc, doc.doc_id == e.vec_id, "left").join(part, part.p_partkey == e.vec_id, "left")
+    name = F.concat_ws(" ", "p_name", "p_brand", F.col("p_size").cast("string"))
+    return graph.fused(nodes.select(F.col("vec_id").alias("node"), name.alias("name"), F.nullif("lang", F.lit("es")).alias("type"), F.col("embedding").alias("vector")), 0.42)
+
+
 @query(
     """WITH b AS (SELECT DISTINCT p_brand brand, p_type kind FROM part), s AS (SELECT p_brand brand, count(*) n FROM part GROUP BY 1)
     SELECT p_partkey AS id, coalesce((SELECT string_agg(kind, ',' ORDER BY kind) FROM (SELECT kind FROM (SELECT DISTINCT p_type kind FROM part) t
