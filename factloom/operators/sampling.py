@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.plans.ranks import within_group
-from factloom.plans.storage import stored
 
 
 def rotated(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
@@ -55,30 +54,6 @@ def allocated(df: DataFrame, kind: str, order: str, quota: DataFrame) -> DataFra
     return ranked.join(F.broadcast(quota.select(F.col("name").alias(kind), "quota")), kind).filter("_r <= quota").drop("_r", "quota")
 
 
-def greedy_cover(candidates: DataFrame, picks: int, stop_at_no_gain: bool = True) -> DataFrame:
-    """Up to ``picks`` candidates, each adding most items that none before it has; ties to the least id.
-
-    ``candidates`` has id and items (array). ``picks`` is a limit of the
-    feature; each pick is one aggregation over what is uncovered, and only its
-    id comes to the driver.
-    """
-    spark = candidates.sparkSession
-    left = stored(candidates.select("id", F.explode(F.array_distinct("items")).alias("item")), "items")
-    chosen: list[tuple] = []
-    while len(chosen) < picks:
-        best = left.groupBy("id").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "id").first()
-        if best is None:
-            break
-        chosen.append((len(chosen) + 1, best["id"], best["gain"]))
-        got = left.filter(F.col("id") == best["id"]).select("item")
-        left = stored(left.join(got, "item", "left_anti").select("id", "item"), "items")
-    kind = dict(candidates.dtypes)["id"]
-    if not stop_at_no_gain and len(chosen) < picks:
-        rest = candidates.filter(~F.col("id").isin([c[1] for c in chosen])).orderBy("id").limit(picks - len(chosen)).select("id").collect()
-        chosen += [(len(chosen) + i, r["id"], 0) for i, r in enumerate(rest, 1)]
-    return spark.createDataFrame(chosen, f"pick int, id {kind}, gain long")
-
-
 def distractors(questions: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     """Up to ``k`` wrong answers for each question, by text: of the same relation, neither the answer nor another of the head's own tails.
 

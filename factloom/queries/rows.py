@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import reports, sampling, turns
+from factloom.operators import reports, sampling, selection, turns
 
 from .base import query, table
 
@@ -129,7 +129,7 @@ def greedy_cover(spark, d):
     """The suppliers that cover most brands, one after another; each choice rests on those before it."""
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     rows = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))).alias("items"))
-    return sampling.greedy_cover(rows, 5)
+    return selection.greedy_cover(rows, 5)
 
 
 @query(

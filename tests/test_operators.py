@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import dedup, graph, reports, sampling, triples, turns
+from factloom.operators import dedup, graph, reports, sampling, selection, triples, turns
 from factloom.plans.components import connected_components
 from factloom.plans.ranks import percent_rank, running_total
 
@@ -125,8 +125,8 @@ def test_quotas(spark):
 
 def test_greedy_cover(spark):
     c = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "d"]), (3, ["a"]), (4, ["d"])], "id int, items array<string>")
-    assert [(r.id, r.gain) for r in sampling.greedy_cover(c, 4).orderBy("pick").collect()] == [(2, 3), (1, 1)]
-    assert [(r.id, r.gain) for r in sampling.greedy_cover(c, 3, False).orderBy("pick").collect()] == [(2, 3), (1, 1), (3, 0)]
+    assert [(r.id, r.gain) for r in selection.greedy_cover(c, 4).orderBy("pick").collect()] == [(2, 3), (1, 1)]
+    assert [(r.id, r.gain) for r in selection.greedy_cover(c, 3, False).orderBy("pick").collect()] == [(2, 3), (1, 1), (3, 0)]
 
 
 def test_distractors(spark):
