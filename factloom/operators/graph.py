@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.plans.components import connected_components
-from factloom.plans.ranks import percent_rank
+from factloom.plans.ranks import percent_rank, running_total
 from factloom.functions.text import normalize_keyword
 from factloom.operators.vectors import alike
 from factloom.plans.storage import broadcast_if_small, drop_stored, stored
@@ -152,3 +152,45 @@ def expanded(seeds: DataFrame, links: DataFrame, rounds: int, limit: int | None
             break
         seen = stored(seen.union(frontier), "seen")
     return seen
+
+
+def expanded_with_notes(seeds: DataFrame, links: DataFrame, rounds: int, cap: int, min_length: int = 0) -> DataFrame:
+    """term, parent, round, place, accepted and note of every term that is met on the way from ``seeds`` (term) over ``links`` (term, next).
+
+    Terms are met in order: seeds by name, then round by round the links of
+    the terms that the round before accepted, in their order and by name. The
+    note says why a term isn't taken up, all reasons in turn: min_length,
+    duplicate (accepted before, whether in an earlier round or in this), and
+    max_terms, once ``cap`` terms were met, whatever became of these. Each
+    round is written once; accepted and rejected terms are all there is.
+    """
+    spark = seeds.sparkSession
+    kind = "term string, parent string, round int, place bigint, accepted boolean, note string"
+    first = running_total(seeds.select("term").dropna().distinct().withColumn("_one", F.lit(1)), "term", "_one", "place")
+    met = [stored(first.select("term", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("round"), F.col("place").cast("bigint").alias("place"), F.lit(True).alias("accepted"), F.lit("").alias("note")), "round")]
+    n = met[0].count()
+    links = links.select("term", "next").dropna().distinct()
+    for i in range(1, rounds + 1):
+        known = met[0].filter("accepted").select("term")
+        for m in met[1:]:
+            known = known.union(m.filter("accepted").select("term"))
+        at = met[-1].filter("accepted").select("term", F.col("place").alias("_from"))
+        found = at.join(links, "term").select(F.col("next").alias("term"), F.col("term").alias("parent"), F.struct("_from", "next").alias("_order"), F.lit(1).alias("_one"))
+        numbered = stored(running_total(found, "_order", "_one", "_n").select("term", "parent", (F.lit(n) + F.col("_n")).cast("bigint").alias("place")), "met")
+        size = numbered.count()
+        if not size:
+            break
+        before = numbered.join(known.withColumn("_before", F.lit(True)), "term", "left").withColumn("_before", F.coalesce("_before", F.lit(False)))
+        # the first of equal terms is taken up if anything is; others are duplicates if it was
+        taken = numbered.groupBy("term").agg(F.min("place").alias("_least")).filter(F.col("_least") < cap)
+        both = before.join(taken, "term", "left")
+        short, over = F.length("term") < min_length, F.col("place") >= cap
+        again = F.col("_before") | (~short & F.coalesce(F.col("_least") < F.col("place"), F.lit(False)))
+        note = F.concat_ws("; ", F.when(short, "min_length"), F.when(again, "duplicate"), F.when(over, "max_terms"))
+        met.append(stored(both.select("term", "parent", F.lit(i).alias("round"), "place", (note == "").alias("accepted"), note.alias("note")), "round"))
+        drop_stored(numbered)
+        n += size
+    out = spark.createDataFrame([], kind)
+    for m in met:
+        out = out.unionByName(m)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.functions.anchors import anchor_span
 
 
 def supporting_chunks(rows: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
@@ -28,8 +29,8 @@ def edge_evidence(edges: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def with_images(rows: DataFrame, images: DataFrame, meta: str = "meta") -> DataFrame:
-    """``rows`` with image_path in ``meta`` from ``images`` (question_id, path); those without an image keep what they had."""
-    found = rows.join(images.select(F.col("question_id").alias("_q"), F.col("path").alias("_p")).dropDuplicates(["_q"]), F.col(f"{meta}.question_id") == F.col("_q"), "left")
+    """``rows`` with image_path in ``meta`` from ``images`` (question_id, path); those without an image keep what they had, of several paths the first by name counts."""
+    found = rows.join(images.groupBy(F.col("question_id").alias("_q")).agg(F.min("path").alias("_p")), F.col(f"{meta}.question_id") == F.col("_q"), "left")
     fields = {f.name for f in rows.schema[meta].dataType}
     before = F.col(f"{meta}.image_path") if "image_path" in fields else F.lit(None).cast("string")
     return found.withColumn(meta, F.col(meta).withField("image_path", F.coalesce("_p", before))).drop("_q", "_p")
@@ -52,16 +53,18 @@ def external_only(hits: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def located_message(concepts: DataFrame, messages: DataFrame, key: str) -> DataFrame:
-    """For each concept (key, session, source_ts, context) the message (session, ts, text) it is about, and by what.
+    """For each concept (key, session, source_ts, context, perhaps anchor) the message (session, ts, text) it is about, and by what.
 
     In turn: the message at its time, the first that holds its context, the
-    first of the session. A session's messages are joined to its concepts.
+    first in which its anchor is found by its words, the first of the session.
+    A session's messages are joined to its concepts.
     """
     both = concepts.join(messages.select("session", "ts", "text"), "session")
     context = F.trim(F.coalesce("context", F.lit("")))
-    rank = F.when(F.col("ts") == F.col("source_ts"), 0).when((context != "") & F.contains("text", context), 1).otherwise(2)
+    quoted = anchor_span("text", "anchor").isNotNull() if "anchor" in concepts.columns else F.lit(False)
+    rank = F.when(F.col("ts") == F.col("source_ts"), 0).when((context != "") & F.contains("text", context), 1).when(quoted, 2).otherwise(3)
     best = both.groupBy(key).agg(F.min(F.struct(rank.alias("rank"), "ts")).alias("b"))
-    by = F.element_at(F.array(*map(F.lit, ("timestamp", "context", "first"))), F.col("b.rank") + 1)
+    by = F.element_at(F.array(*map(F.lit, ("timestamp", "context", "anchor", "first"))), F.col("b.rank") + 1)
     return best.select(key, F.col("b.ts").alias("ts"), by.alias("found_by"))
 
 

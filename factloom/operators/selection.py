@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.plans.ranks import within_group
-from factloom.plans.storage import broadcast_if_small, drop_stored, stored
+from factloom.plans.storage import broadcast_if_small, drop_stored, new_path, stored
 
 #: Items that a round of greedy choices brings to the driver at most.
 PULLED = 50_000
@@ -40,44 +40,46 @@ def allocated_by_node(touched: DataFrame, nodes: DataFrame, targets: dict[str, i
     Rows with a null id or node are ignored; a type without a target is behind by nothing.
     """
     spark = touched.sparkSession
-    kind = dict(touched.dtypes)["id"]
-    open_ = stored(touched.select("id", "type", "node").dropna(subset=["id", "node"]).distinct(), "open")
-    lacking = stored(nodes.select("node", "tier", F.col("quota").alias("want")).filter("want > 0"), "lacking")
-    picked: list[DataFrame] = []
-    have: dict[str, int] = {}
+    kinds = dict(touched.dtypes)
+    all_ = stored(touched.select("id", "type", "node").dropna(subset=["id", "node"]).distinct().withColumn("draw", draw(seed, "id")), "touched")
+    types = [r["type"] for r in all_.select("type").distinct().collect()]  # a row for each type
+    demand = stored(nodes.select("node", "tier", F.col("quota").alias("want")).filter("want > 0"), "demand")
+    path, rounds, have = new_path(spark, "picks"), 0, dict.fromkeys(types, 0)
+    none = spark.createDataFrame([], f"id {kinds['id']}, type string, node {kinds['node']}, tier string, round int")
+    picks = none
     for tier in ("T1", "T2", "T3"):
         while True:
-            n = len(picked) + 1
-            asked = open_.join(lacking.filter(F.col("tier") == tier), "node").withColumn("draw", draw(seed, "id"))
-            behind = {r["type"]: targets.get(r["type"], 0) - have.get(r["type"], 0) for r in open_.select("type").distinct().collect()}  # a row for each type
+            behind = {t: targets.get(t, 0) - n for t, n in have.items()}
+            # picks are fewer than quotas; what is open and lacking follows from them, so that no round writes it again
+            got = broadcast_if_small(picks.filter(F.col("tier") == tier).groupBy("node").agg(F.count(F.lit(1)).alias("got")))
+            lacking = demand.filter(F.col("tier") == tier).join(got, "node", "left").filter(F.col("want") > F.coalesce("got", F.lit(0))).select("node", "tier")
+            asked = all_.join(broadcast_if_small(lacking), "node").join(broadcast_if_small(picks.select("id")), "id", "left_anti")
             by_type = asked.groupBy("node", "tier", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "id")).alias("first"))
-            state = spark.createDataFrame(list(behind.items()), "t string, behind long") if behind else spark.createDataFrame([], "t string, behind long")
-            wish = by_type.join(F.broadcast(state), F.col("type").eqNullSafe(F.col("t")))
-            choice = wish.groupBy("node", "tier").agg(F.min_by(F.struct("type", "first"), F.struct((-F.col("behind")).alias("b"), (-F.col("n")).alias("n"), "type")).alias("c"))
+            state = F.lit(0).cast("bigint")
+            for t, m in behind.items():
+                state = F.when(F.col("type").eqNullSafe(F.lit(t)), m).otherwise(state)
+            choice = by_type.groupBy("node", "tier").agg(F.min_by(F.struct("type", "first"), F.struct((-state).alias("b"), (-F.col("n")).alias("n"), "type")).alias("c"))
             choice = choice.select("node", "tier", F.col("c.type").alias("type"), F.col("c.first.id").alias("id"), draw(seed, "node").alias("turn"))
             won = choice.groupBy("id", "type").agg(F.min(F.struct("turn", "node", "tier")).alias("w")).withColumn("order", F.struct("w.turn", "w.node", "id"))
-            ranked = within_group(won, ["type"], "order").select("id", "type", "w.node", "w.tier", F.col("_r").alias("place"))
-            ranked = stored(ranked, "won")
-            sizes = {r["type"]: r["n"] for r in ranked.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
+            won = stored(won, "won")
+            sizes = {r["type"]: r["n"] for r in won.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
             if not sizes:
+                drop_stored(won)
                 break
-            most = {t: max(behind[t], -(-s // 2)) for t, s in sizes.items()}
-            limit = F.lit(0)
-            for t, m in most.items():
-                limit = F.when(F.col("type").eqNullSafe(F.lit(t)), m).otherwise(limit)
-            taken = stored(ranked.filter(F.col("place") <= limit).select("id", "type", "node", "tier", F.lit(n).alias("round")), "taken")
-            drop_stored(ranked)
-            for t, s in sizes.items():
-                have[t] = have.get(t, 0) + min(s, most[t])
-            picked.append(taken)
-            last, open_ = open_, stored(open_.join(taken.select("id"), "id", "left_anti"), "open")
-            drop_stored(last)
-            last, lacking = lacking, stored(lacking.join(taken.select("node", F.lit(1).alias("got")), "node", "left").select("node", "tier", (F.col("want") - F.coalesce("got", F.lit(0))).alias("want")).filter("want > 0"), "lacking")
-            drop_stored(last)
-    out = spark.createDataFrame([], f"id {kind}, type string, node {dict(touched.dtypes)['node']}, tier string, round int")
-    for taken in picked:
-        out = out.unionByName(taken)
-    return out
+            most = {t: min(n, max(behind[t], -(-n // 2))) for t, n in sizes.items()}
+            cut = [t for t, n in sizes.items() if n > most[t]]
+            taken = won
+            if cut:  # the first of these by a draw
+                limit = F.lit(0)
+                for t, m in most.items():
+                    limit = F.when(F.col("type").eqNullSafe(F.lit(t)), m).otherwise(limit)
+                taken = within_group(won, ["type"], "order").filter(F.col("_r") <= limit)
+            rounds += 1
+            taken.select("id", "type", "w.node", "w.tier", F.lit(rounds).alias("round")).write.mode("append").parquet(path)
+            drop_stored(won)
+            picks = spark.read.parquet(path)
+            have = {t: n + most.get(t, 0) for t, n in have.items()}
+    return picks
 
 
 def quota_gaps(picked: DataFrame, nodes: DataFrame) -> DataFrame:

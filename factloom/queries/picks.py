@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import sampling, selection
+from factloom.operators import graph, sampling, selection
 from factloom.plans.storage import stored
 
-from .base import query, table
+from .base import facts, query, table
 
 
 def _samples(spark, d):
@@ -39,3 +39,11 @@ def balanced_subset(spark, d):
     rows = _samples(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     items = rows.groupBy(F.col("o_orderkey").alias("id"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("stratum")).agg(F.collect_set(F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))).alias("items"))
     return selection.balanced_subset(items, 3, 150)
+
+
+@query()
+def frontier_notes(spark, d):
+    """What is met within three steps of the regions, with the reason for all that isn't taken up; order decides, so without SQL."""
+    edges = facts(spark, d)
+    seeds = edges.filter("normalized_relation = 'part_of'").select(F.col("tail").alias("term"))
+    return graph.expanded_with_notes(seeds, edges.select(F.col("tail").alias("term"), F.col("head").alias("next")), 3, 20_000, 8)
