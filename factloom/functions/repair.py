@@ -28,8 +28,8 @@ ABBREVIATIONS = (
     "a", "b", "c", "d", "e", "h", "l", "m", "n", "p", "s", "t", "spp", "sp", "subsp", "var",
 )
 
-#: What output of a search tool looks like, and logs of errors.
-TOOL_OUTPUT = (r"literature\s+results\s+for:", r"sciverse\s+workflow\s+result", r"\bDOI:\s*(?:N/?A|10\.)", r"\bVenue:\s*N/?A", r"\bAuthors:\s*[A-Z][a-z]", "use this tool for scholarly papers", r"^\s*\[\{['\"]content['\"]")
+#: What output of a search tool looks like, and logs of errors. Signatures of further tools are given as a parameter.
+TOOL_OUTPUT = (r"literature\s+results\s+for:", r"\bDOI:\s*(?:N/?A|10\.)", r"\bVenue:\s*N/?A", r"\bAuthors:\s*[A-Z][a-z]", "use this tool for scholarly papers", r"^\s*\[\{['\"]content['\"]", r"^\s*\{['\"]content['\"]\s*:")
 ERROR_WORDS = ("Traceback", "Exception", "ERROR", "[WARN]")
 
 #: Reasons that speak for a repair, and those that speak against reading them so.
@@ -77,9 +77,10 @@ def first_sentence(x) -> Column:
     return F.trim(F.when(found != "", found).otherwise(body))
 
 
-def is_tool_output(x) -> Column:
+def is_tool_output(x, more: tuple[str, ...] = ()) -> Column:
+    """Whether a claim is what a tool printed, by its signatures and ``more`` of them."""
     body = F.coalesce(col(x), F.lit(""))
-    return (F.length(body) >= 40) & body.rlike("(?i)(?:" + "|".join(TOOL_OUTPUT) + ")")
+    return (F.length(body) >= 40) & body.rlike("(?i)(?:" + "|".join((*TOOL_OUTPUT, *more)) + ")")
 
 
 def is_error_log(level, message) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, sampling, selection
+from factloom.operators import graph, sampling, selection, sessions
 from factloom.plans.storage import stored
 
 from .base import facts, query, table
@@ -47,3 +47,29 @@ def frontier_notes(spark, d):
     edges = facts(spark, d)
     seeds = edges.filter("normalized_relation = 'part_of'").select(F.col("tail").alias("term"))
     return graph.expanded_with_notes(seeds, edges.select(F.col("tail").alias("term"), F.col("head").alias("next")), 3, 20_000, 8)
+
+
+@query(
+    """WITH r AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) b FROM events),
+    s AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) n FROM r WHERE b IS NULL OR b <> event_type)
+    SELECT user_id, event_type, epoch_us(ts) since FROM s WHERE epoch_us(coalesce(n, (SELECT max(ts) FROM events))) - epoch_us(ts) > 43200000000"""
+)
+def signature_stalls(spark, d):
+    """Users whose kind of event stays the same for over twelve hours."""
+    found = sessions.signature_stalls(table(spark, d, "events"), "user_id", "ts", "event_type", 12 * 3600)
+    return found.select("user_id", "event_type", F.unix_micros("since").alias("since"))
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT DISTINCT user_id s, user_id // 2 a, user_id * 7919 % (SELECT count(*) FROM events) c FROM events WHERE user_id > 0),
+    w AS (SELECT s, a, c FROM p UNION ALL SELECT w.s, p.a, least(w.c, p.c) FROM w JOIN p ON p.s = w.a),
+    v AS (SELECT w.s viewer, event_id FROM w JOIN events ON user_id = a AND event_id < c UNION ALL SELECT user_id, event_id FROM events)
+    SELECT viewer, count(*) n, max(event_id) latest, CAST(sum(event_id) AS BIGINT) total FROM v GROUP BY viewer"""
+)
+def session_lineage(spark, d):
+    """What every user's log holds when it goes back to that of the user with half its number, and so on."""
+    events = table(spark, d, "events").select("user_id", "event_id")
+    n = events.count()
+    resets = events.select(F.col("user_id").alias("session"), F.expr("user_id div 2").alias("parent"), (F.col("user_id") * 7919 % n).alias("cutoff")).filter("session > 0").distinct()
+    seen = sessions.visible(events, resets, "user_id", "event_id")
+    return seen.groupBy("viewer").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("latest"), F.sum("event_id").alias("total"))

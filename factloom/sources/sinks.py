@@ -1,7 +1,7 @@
 """Sinks with a protocol: documents, result pairs, rewrites that keep a backup, logs; and folders of runs.
 
 Paths are Hadoop paths, so that all of this works on shared stores. A rewrite
-writes beside what it reads and renames, so that a failure leaves the old
+writes beside what it reads and renames, so that no failure loses the old
 table; two writers at once are not guarded against.
 """
 
@@ -34,23 +34,44 @@ def write_results(rows: DataFrame, summary: dict, folder: str) -> None:
     write_document(rows.sparkSession, f"{folder}/summary.json", summary)
 
 
+def _move(fs, old, new) -> None:
+    """Renames, which stores may refuse by saying no instead of raising."""
+    if not fs.rename(old, new):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back the table at ``path`` if a rewrite was cut off between its two renames."""
+    (old, fs), (aside, _) = _hadoop(spark, path), _hadoop(spark, f"{path}.old")
+    if fs.exists(aside) and not fs.exists(old):
+        _move(fs, aside, old)
+
+
 def rewrite(df: DataFrame, path: str) -> None:
-    """Puts ``df``, which may read ``path``, in its place as JSON lines; what was there first stays as ``path``.bak."""
+    """Puts ``df``, which may read ``path``, in its place as JSON lines; what was there first stays as ``path``.bak.
+
+    The old table is moved aside before the new one is moved in, and goes only
+    then. A failure leaves the old table at ``path``, or aside, from where
+    ``recover`` and the next rewrite put it back.
+    """
     spark = df.sparkSession
-    new, _ = _hadoop(spark, f"{path}.new")
+    (new, fs), (old, _), (aside, _), (backup, _) = (_hadoop(spark, f"{path}{end}") for end in (".new", "", ".old", ".bak"))
     df.write.mode("overwrite").json(f"{path}.new")
-    old, fs = _hadoop(spark, path)
-    backup, _ = _hadoop(spark, f"{path}.bak")
     if fs.exists(old):
+        if fs.exists(aside):  # left by a rewrite that was cut off after its second rename
+            fs.delete(aside, True)
+        _move(fs, old, aside)
+    _move(fs, new, old)
+    if fs.exists(aside):
         if fs.exists(backup):
-            fs.delete(old, True)
+            fs.delete(aside, True)
         else:
-            fs.rename(old, backup)
-    fs.rename(new, old)
+            _move(fs, aside, backup)
 
 
 def compacted(spark: SparkSession, path: str, schema: str, good: Column) -> DataFrame:
     """Rewrites the JSON lines at ``path`` without rows that aren't ``good`` (failed ones are tried again later), and reads them back."""
+    recover(spark, path)
     rewrite(spark.read.schema(schema).json(path).filter(good), path)
     return spark.read.schema(schema).json(path)
 

@@ -130,6 +130,7 @@ def test_short_text_rules(spark):
     assert one(spark, '{"issued": {"date-parts": [[null]]}, "published-print": {"date-parts": [[2019, 5]]}}', R.published_year) == "2019"
     assert [one(spark, x, R.is_cell_type) for x in ("T cells", "HeLa cell line", "PBMCs", "")] == [True, False, True, False]
     assert one(spark, "physical association between p53 and MDM2", R.interaction) == "p53-MDM2 interaction" and one(spark, "binding of A to B", R.interaction) == "A-B interaction" and one(spark, "p53", R.interaction) == "p53"
+    assert one(spark, " {'content' : 'x'}" + "x" * 40, R.is_tool_output) and one(spark, "tool says: " + "x" * 40, lambda x: R.is_tool_output(x, (r"^tool\s+says",)))
     assert one(spark, "DOI: N/A " + "x" * 40, R.is_tool_output) and not one(spark, "DOI: N/A", R.is_tool_output)
     assert one(spark, "the claim is unsupported here", lambda x: R.elevated(F.lit("no"), F.lit("No"), x)) == "Yes" and one(spark, "not wrong", lambda x: R.elevated(F.lit("no"), F.lit("No"), x)) == "No"
     ids = spark.createDataFrame([(["a", "a", None],), (["a", "b"],), (["a"],)], "i array<string>")

@@ -27,6 +27,30 @@ def test_rewrite_keeps_the_first_backup(spark, tmp_path):
     assert [r.id for r in left.collect()] == [1] and spark.read.json(f"{path}.bak").count() == 4
 
 
+def test_a_rewrite_that_is_cut_off_loses_nothing(spark, tmp_path, monkeypatch):
+    path, moves = str(tmp_path / "t"), []
+    spark.range(4).write.json(path)
+    move = sinks._move
+    for n in (1, 2, 3):  # the nth rename fails
+
+        def failing(fs, old, new, n=n):
+            moves.append(new)
+            if len(moves) == n:
+                raise OSError("cut off")
+            move(fs, old, new)
+
+        moves.clear()
+        monkeypatch.setattr(sinks, "_move", failing)
+        try:
+            sinks.rewrite(spark.read.json(path).select(F.col("id") + 10), path)
+        except OSError:
+            pass
+        monkeypatch.setattr(sinks, "_move", move)
+        sinks.recover(spark, path)
+        assert spark.read.json(path).count() == 4
+        spark.range(4).write.mode("overwrite").json(path)
+
+
 def test_logs_grow_and_have_times(spark, tmp_path):
     path = str(tmp_path / "log")
     for i in range(2):
