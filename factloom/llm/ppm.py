@@ -46,9 +46,9 @@ HEAVY_BYTES = 256
 #: Rows of the table of probabilities that are sent to the tasks (16 bytes a row); the others are joined.
 SENT_ROWS = 4_000_000
 #: Bytes of texts, texts, and rows of counts, that a task holds at once.
-CHUNK_BYTES, CHUNK_TEXTS, HELD_ROWS = 2_000_000, 1 << 15, 4_000_000
+CHUNK_BYTES, CHUNK_TEXTS, HELD_ROWS = 2_000_000, 1 << 15, 2_000_000
 #: Distinct words a task counts before it passes its counts on.
-COUNT_WORDS = 400_000
+COUNT_WORDS = 200_000
 FOLDS, HELD_OUT_FOLD = 7, 2
 END = b"\n"
 
