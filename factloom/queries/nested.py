@@ -1,10 +1,10 @@
-"""Anchors in texts, nested values, tools' answers and questions on images."""
+"""Anchors in texts, nested values, tools' answers, questions on images and the content of pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import anchors, tool_text
+from factloom.functions import anchors, pages, tool_text
 from factloom.operators import nested, overlay
 
 from .base import query, table
@@ -83,3 +83,13 @@ def image_overlay(spark, d):
     tail = F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.upper("source"))
     triples = docs.select(F.concat(F.lit("benchmark::benchmark::Set::"), name).alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), F.col("source").alias("head"), tail.alias("tail"), F.concat(F.lit("Q: "), doc, F.lit("\nA: yes")).alias("evidence"), F.col("doc_id").alias("seq"))
     return overlay.image_questions(triples, images).select("image_key", "image_path", "doc_id", "question")
+
+
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') body FROM pages)
+    SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&[a-z]+;', '', 'g'), '[^A-Za-z]', '', 'g')) letters FROM t"""
+)
+def main_content(spark, d):
+    """The content of every page by its letters; the pages hold it in one part, which is found by its text, not by its name."""
+    text = pages.main_text(F.regexp_replace("html", "(?<=</?)article(?=>)", "div"))
+    return table(spark, d, "pages").select("page_id", F.md5(F.regexp_replace(text, "[^A-Za-z]", "")).alias("letters"))
