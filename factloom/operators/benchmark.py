@@ -40,6 +40,7 @@ def accepted(v: seeds.SeedRules, entities: DataFrame, proposed: DataFrame, item:
     ``least``, missing ends or relations and other names are no triples. An
     item's names come to its triples as one bounded map, so one shuffle by item.
     """
+    entities = stored(entities.select(item, "names"), "benchmark_entities")
     by_key = F.map_from_entries("names")
     key = lambda x: T.normalize_keyword(seeds.canonical(v, seeds.cleaned(v, x)))
     relation = F.regexp_replace(F.lower(F.trim("relation")), " ", "_")

@@ -26,12 +26,9 @@ def keyed(triples: DataFrame) -> DataFrame:
 
 def edge_support(triples: DataFrame) -> DataFrame:
     """A row per fact (h, r, t): the first row's wording, independent sources, documents and chunks, and mean confidence."""
-    rows = keyed(triples)
-    first = F.min_by(F.struct("head", "head_type", "normalized_relation", "tail", "tail_type"), "seq")
-    named = rows.groupBy("h", "r", "t").agg(first.alias("first")).select("h", "r", "t", "first.*")
-    chunk = F.when(T.normalize_text("chunk_id") != "", F.struct("doc_id", "chunk_id"))
-    chunks = rows.groupBy("h", "r", "t", chunk.alias("chunk")).agg(F.lit(1).alias("one")).groupBy("h", "r", "t").agg(F.count("chunk").alias("chunk_count"))
-    return named.join(support(rows, "h", "r", "t").drop("max_confidence"), ["h", "r", "t"]).join(chunks, ["h", "r", "t"])
+    wording = ("head", "head_type", "normalized_relation", "tail", "tail_type")
+    found = support(keyed(triples), "h", "r", "t", wording=wording)
+    return found.select("h", "r", "t", *(f"first.{c}" for c in wording), "support_count", "doc_count", "avg_confidence", "chunk_count")
 
 
 def support_level(docs: Column, chunks: Column) -> Column:

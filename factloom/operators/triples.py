@@ -92,19 +92,24 @@ def source_key(doc: str = "doc_id", chunk: str = "chunk_id", evidence: str = "ev
     return F.when((d != "") | (c != ""), F.struct(d.alias("d"), c.alias("c"), F.lit("").alias("e"))).when(e != "", F.struct(F.lit("").alias("d"), F.lit("").alias("c"), F.substring(e, 1, 1000).alias("e")))
 
 
-def support(triples: DataFrame, *keys: str) -> DataFrame:
-    """Per key: independent sources, documents, mean and greatest confidence.
+def support(triples: DataFrame, *keys: str, wording: tuple[str, ...] = ()) -> DataFrame:
+    """Per key: independent sources, documents, mean and greatest confidence; with ``wording`` also chunks and, in ``first``, these columns of the first row by seq.
 
     Counted level by level, sources within documents within keys, each partly
     aggregated before its shuffle, where distinct counts would copy every row.
     """
     f, n = F.col("confidence"), F.col("confidence").isNotNull()
-    sources = triples.groupBy(*keys, T.normalize_text("doc_id").alias("_doc"), source_key().alias("_source")).agg(F.sum(f).alias("_sum"), F.count_if(n).alias("_n"), F.max(f).alias("_max"))
-    documents = sources.groupBy(*keys, "_doc").agg(F.count("_source").alias("_sources"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_max").alias("_max"))
-    return documents.groupBy(*keys).agg(
-        F.sum("_sources").alias("support_count"), F.count_if(F.col("_doc") != "").alias("doc_count"),
-        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("avg_confidence"), F.max("_max").alias("max_confidence"),
+    best = [F.min(F.struct("seq", *wording)).alias("_first")] if wording else []
+    later = [F.min("_first").alias("_first")] if wording else []
+    rows = triples.withColumns({"_doc": T.normalize_text("doc_id"), "_source": source_key()})
+    sources = rows.groupBy(*keys, "_doc", "_source").agg(F.sum(f).alias("_sum"), F.count_if(n).alias("_n"), F.max(f).alias("_max"), *best)
+    chunks = F.count_if(F.col("_source.c") != "").alias("_chunks")
+    documents = sources.groupBy(*keys, "_doc").agg(F.count("_source").alias("_sources"), chunks, F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_max").alias("_max"), *later)
+    whole = documents.groupBy(*keys).agg(
+        F.sum("_sources").alias("support_count"), F.count_if(F.col("_doc") != "").alias("doc_count"), F.sum("_chunks").alias("chunk_count"),
+        F.try_divide(F.sum("_sum"), F.sum("_n")).alias("avg_confidence"), F.max("_max").alias("max_confidence"), *later,
     )
+    return whole.withColumnRenamed("_first", "first") if wording else whole.drop("chunk_count")
 
 
 def local_edges(triples: DataFrame) -> DataFrame:

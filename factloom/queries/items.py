@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import seeds
+from factloom.functions import text as T
 from factloom.operators import benchmark
 
 from .base import query, table
@@ -20,7 +21,8 @@ RULES = seeds.SeedRules(
     aspects=("re", "ou"),
     phrases=("and the", "it is", "as a"),
 )
-_RUN = r"[A-Za-z0-9/:+-]+(?: [A-Za-z0-9/:+-]+){0,6}"
+#: Candidates: up to seven words in a row, the first with a capital or a sign.
+_RUN = r"(?:[A-Z]|[a-z/:+-]*[0-9/:+-])[A-Za-z0-9/:+-]*(?: [A-Za-z0-9/:+-]+){0,6}"
 
 _list = lambda words: ", ".join(f"'{w}'" for w in words)
 _any, _ends, _word = seeds._any, " ,.;:!?()[]{}\"''", "[A-Za-z0-9][A-Za-z0-9/:+-]*"
@@ -57,7 +59,7 @@ def _found():
 
 @query(f"""WITH {_SQL} SELECT doc_id, coalesce(reason, 'seed') reason, count(*) n, min(name) AS first FROM j GROUP BY ALL""")
 def seed_reasons(spark, d):
-    """All runs of words of every document as candidates: how many are seeds, and why the others are none."""
+    """All runs of words from a capital or a sign on, in every document, as candidates: how many are seeds, and why the others are none."""
     judged = benchmark.candidates(RULES, table(spark, d, "documents"), "doc_id", _found())
     return judged.groupBy("doc_id", F.coalesce("reason", F.lit("seed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
 
@@ -79,7 +81,8 @@ def item_triples(spark, d):
     """Neighbours among a document's candidates as proposed triples: those between its entities, or its entities' own loops."""
     docs = table(spark, d, "documents")
     entities = benchmark.item_entities(RULES, docs, "doc_id", [_found()])
-    pairs = docs.select("doc_id", _found().alias("c")).select("doc_id", F.posexplode("c").alias("seq", "head"), "c").select("doc_id", "seq", "head", F.get("c", F.col("seq") + 1).alias("tail"))
+    pairs = T.let(_found(), lambda c: F.transform(F.arrays_zip(c.alias("head"), F.slice(c, 2, F.greatest(F.size(c), F.lit(1))).alias("tail")), lambda p, i: F.struct(i.alias("seq"), p["head"], p["tail"])))
+    pairs = docs.select("doc_id", F.inline(pairs))
     confidence = (F.col("doc_id") * 31 + F.col("seq") * 7) % 10 / 10
     proposed = pairs.withColumns({"relation": F.lit("Is near"), "confidence": confidence})
     return benchmark.accepted(RULES, entities, proposed, "doc_id")
