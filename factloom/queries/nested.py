@@ -87,7 +87,7 @@ def image_overlay(spark, d):
 
 @query(
     r"""WITH t AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') body FROM pages)
-    SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&[a-z]+;', '', 'g'), '[^A-Za-z]', '', 'g')) letters FROM t"""
+    SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&(?:amp|lt|gt|quot);?|&[a-z]+;', '', 'g'), '[^A-Za-z]', '', 'g')) letters FROM t"""
 )
 def main_content(spark, d):
     """The content of every page by its letters; the pages hold it in one part, which is found by its text, not by its name."""

@@ -12,6 +12,7 @@ MARKED = [
     ("<main><table><tr><th>metal</th><th>melts</th></tr><tr><td>iron</td><td>1538 &deg;C</td></tr></table></main>", "| metal | melts |\n\n| iron | 1538 °C |"),
     (f"<p>{PROSE}<script>var p = '<p>long text of a script that is not shown</p>';</script><br>On.</p><p><a href=/x>{PROSE}</a></p>", f"{PROSE} On."),
     ("<nav>only a menu here</nav>", ""),
+    ("<h1>Salt &amp</h1><p>Pepper &ampand &copy; more</p>", "# Salt &\n\nPepper &and © more"),
     ("a text without any tag", "a text without any tag"),
     ("", ""),
     (None, ""),
