@@ -37,6 +37,50 @@ def article_parts(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "abstract", "sections"])
 
 
+_LISTS = ("authors", "mesh_terms")
+_FIELDS = ("pmid", "pmcid", "doi", "title", "abstract", "journal", "publication_year", *_LISTS)
+RECORD = S.StructType([*(S.StructField(c, S.ArrayType(S.StringType()) if c in _LISTS else S.StringType()) for c in _FIELDS), S.StructField("has_fulltext", S.BooleanType())])
+
+
+def record_of(xml: str | None) -> dict | None:
+    """One catalogued article: ids, names of authors (or of a group), distinct subject headings. Null where it isn't XML.
+
+    Of several DOIs or PMC ids the first that isn't empty counts; a PMC id without its prefix gets it.
+    """
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None
+    said = lambda node, path: _words(node.find(path))
+    names = [said(a, "CollectiveName") or " ".join(filter(None, (said(a, "ForeName"), said(a, "LastName")))) for a in root.findall(".//AuthorList/Author")]
+    ids = {}
+    for node in root.findall(".//PubmedData/ArticleIdList/ArticleId"):
+        if value := _words(node):
+            ids.setdefault(node.get("IdType"), value)
+    pmc = ids.get("pmc")
+    return {
+        "pmid": said(root, ".//MedlineCitation/PMID"), "pmcid": pmc and (pmc if pmc.upper().startswith("PMC") else f"PMC{pmc}"), "doi": ids.get("doi"), "title": said(root, ".//ArticleTitle"),
+        "abstract": "\n".join(filter(None, map(_words, root.findall(".//Abstract/AbstractText")))), "journal": said(root, ".//Journal/Title"),
+        "publication_year": said(root, ".//PubDate/Year") or said(root, ".//PubDate/MedlineDate"), "authors": [n for n in names if n],
+        "mesh_terms": list(dict.fromkeys(filter(None, map(_words, root.findall(".//MeshHeadingList/MeshHeading/DescriptorName"))))), "has_fulltext": bool(pmc),
+    }
+
+
+@F.pandas_udf(RECORD)
+def article_record(xml: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([record_of(x) or dict.fromkeys(RECORD.names) for x in xml], columns=RECORD.names)
+
+
+def article_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each article of catalogue files of any size: they are cut at the articles' end tags by the reader, so that a file is read by many tasks.
+
+    Articles that don't parse have no row.
+    """
+    end = "</PubmedArticle>"
+    pieces = spark.read.option("lineSep", end).text(path).select(F.regexp_extract("value", r"(?s)<PubmedArticle[\s>].*$", 0).alias("xml")).filter("xml <> ''")
+    return pieces.select(article_record(F.concat("xml", F.lit(end))).alias("r")).select("r.*").filter("pmid IS NOT NULL")
+
+
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: its path, title, abstract and sections; files that don't parse have nulls."""
     files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), article_parts("value").alias("a"))
