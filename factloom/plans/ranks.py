@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import broadcast_if_small, stored
@@ -50,3 +52,26 @@ def within_group(df: DataFrame, keys: list[str], order: str, most: int | None =
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return within.join(sizes, same).withColumn("_r", F.col("_r") + F.col("_before")).drop("_part", "_p", "_before", *(f"_k{i}" for i in range(len(keys))))
+
+
+def latest_before(df: DataFrame, keys: list[str], order: str, holds: Column, names: dict[str, list[str]]) -> DataFrame:
+    """``df`` with, for each of ``names``, the greatest ``order`` below the row's own among rows of its group for which ``holds``.
+
+    A group is that of ``keys`` and the columns listed for the name; ``order``
+    is a whole number. Groups of any size are dealt into ranges of ``order``:
+    each range looks into itself and takes what it lacks from the latest range
+    before it that has one. Null keys are a group; a null order gets null.
+    """
+    marked = df.withColumn("_at", F.when(holds, F.col(order)))
+    out = stored(marked.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    for name, finer in names.items():
+        group = [*keys, *finer]
+        ends = out.groupBy(*group, "_part").agg(F.max("_at").alias("_end"))
+        # a row for each range that has some of the group
+        so_far = F.max("_end").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*group, "_part"])), so_far.alias("_far"))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*group, "_part"])))
+        within = F.max("_at").over(Window.partitionBy(*keys, "_part", *finer).orderBy(F.col(order)).rangeBetween(Window.unboundedPreceding, -1))
+        found = F.when(F.col(order).isNotNull(), F.coalesce("_near", "_far"))
+        out = out.withColumn("_near", within).join(ends, same, "left").withColumn(name, found).drop("_near", "_far", *(f"_k{i}" for i in range(len(group) + 1)))
+    return out.drop("_at", "_part").select(*df.columns, *names)
