@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, entity_key
+from .text import col, entity_key, let
 
 #: What counts as yes and as no.
 TRUE_TOKENS = ("supported", "support", "yes", "true", "1", "y", "t")
 FALSE_TOKENS = ("not supported", "unsupported", "no", "false", "0", "n", "f", "notsupported", "not")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The same and spaces, in a pattern.
+_AROUND = r"[!-/:-@\[-`{-~ ]*"
 
 
 def _bare(x) -> Column:
@@ -24,16 +26,23 @@ def choice_index(answer, options: Column) -> Column:
     a text that just one option holds.
     """
     n = F.size(options)
-    place = lambda letter: F.when(letter.rlike("^[A-L]$"), F.ascii(letter) - 65)
-    fits = lambda i: F.when((i >= 0) & (i < n), i)
-    alone = place(F.upper(F.trim(_bare(answer))))
-    leading = place(F.regexp_extract(F.upper(F.coalesce(col(answer), F.lit(""))), r"^\s*([A-H])\b", 1))
-    keys, target = F.transform(options, entity_key), entity_key(answer)
-    exact = F.array_position(keys, target) - 1
-    holding = F.filter(F.transform(keys, lambda k, i: F.when(F.contains(k, target), i)), lambda i: i.isNotNull())
-    only = F.when((target != "") & (F.size(holding) == 1), F.get(holding, F.lit(0)))
-    found = F.coalesce(fits(alone), fits(leading), F.when(exact >= 0, exact), only, F.lit(-1))
-    return F.when((n > 0) & (target != ""), found).otherwise(F.lit(-1)).cast("int")
+    body = F.coalesce(col(answer), F.lit(""))
+
+    def lettered(pattern: str) -> Column:
+        letter = F.regexp_extract(body, pattern, 1)
+        i = F.when(letter != "", F.ascii(F.upper(letter)) - 65)
+        return F.when(i < n, i)
+
+    def by_text(target: Column, keys: Column) -> Column:
+        exact = F.array_position(keys, target) - 1
+        holding = F.filter(F.transform(keys, lambda k, i: F.when(F.contains(k, target), i)), lambda i: i.isNotNull())
+        return F.when(target == "", -1).when(exact >= 0, exact).when(F.size(holding) == 1, F.get(holding, F.lit(0))).otherwise(-1)
+
+    # letters are read off the text as it is; only texts without one are brought to a key, once
+    said = body.rlike(r"(?U)[^\s\x00]")
+    other = let(entity_key(body), lambda target: let(F.transform(options, entity_key), lambda keys: by_text(target, keys)))
+    found = F.coalesce(lettered(rf"^{_AROUND}([A-La-l]){_AROUND}\z"), lettered(r"^\s*([A-Ha-h])\b"), other)
+    return F.when((n > 0) & said, found).otherwise(F.lit(-1)).cast("int")
 
 
 def truth(answer) -> Column:

@@ -38,15 +38,17 @@ def mentions(x, concept) -> Column:
 
 def is_supported(evidence, chunk, share: float = 0.8) -> Column:
     """Whether a chunk holds the evidence as it is, or ``share`` of its words; a missing chunk doesn't."""
-    e, c = T.entity_key(evidence), T.entity_key(chunk)
-    words = T.token_set(e)
-    n = F.size(F.array_intersect(words, T.token_set(c)))
-    return (e != "") & (c != "") & (F.contains(c, e) | ((F.size(words) > 0) & (n >= F.size(words) * share)))
+
+    def judged(e: Column, c: Column) -> Column:
+        shared = lambda words: (F.size(words) > 0) & (F.size(F.array_intersect(words, T.token_set(c))) >= F.size(words) * share)
+        return (e != "") & (c != "") & (F.contains(c, e) | T.let(T.token_set(e), shared))
+
+    return T.let(T.entity_key(evidence), lambda e: T.let(T.entity_key(chunk), lambda c: judged(e, c)))
 
 
 def leaks(question, answer) -> Column:
-    q, a = T.entity_key(question), T.entity_key(answer)
-    return (a != "") & F.contains(F.regexp_replace(q, r"^according to [^,:]*[,:]\s*", ""), a)
+    asked = F.regexp_replace(T.entity_key(question), r"^according to [^,:]*[,:]\s*", "")
+    return T.let(T.entity_key(answer), lambda a: (a != "") & F.contains(asked, a))
 
 
 def failed(**rules: Column) -> Column:
@@ -64,13 +66,14 @@ def options_valid(options: Column, answer) -> Column:
 def claim_text(head, relation, tail, strength) -> Column:
     """A fact as a sentence, as firm as its evidence. The wording."""
     r = F.regexp_replace(T.normalize_text(relation), "_", " ")
-    h, t, s = T.col(head), T.col(tail), T.col(strength)
-    return F.concat(
-        F.when(s == "weak", F.concat_ws(" ", F.lit("The evidence suggests a reported association involving"), h, F.lit("and"), t))
-        .when(s == "strong", F.concat_ws(" ", F.lit("The available evidence supports that"), h, r, t))
-        .otherwise(F.concat_ws(" ", F.lit("The evidence supports a contextual relationship in which"), h, r, t)),
-        F.lit("."),
-    )
+    h, t = T.col(head), T.col(tail)
+
+    def said(s: Column) -> Column:
+        first = F.when(s == "strong", "The available evidence supports that").otherwise("The evidence supports a contextual relationship in which")
+        vague = F.concat_ws(" ", F.lit("The evidence suggests a reported association involving"), h, F.lit("and"), t)
+        return F.when(s == "weak", vague).otherwise(F.concat_ws(" ", first, h, r, t))
+
+    return F.concat(T.let(T.col(strength), said), F.lit("."))
 
 
 #: What pages of publishers hold around an article, and what articles hold.
@@ -100,16 +103,21 @@ def is_article(x, title, min_chars: int = 1200) -> Column:
 
 def landing_text(x) -> Column:
     """A page's pieces between section words, without boilerplate, short ones and repeats."""
+    return landing_pieces(T.html_text(x))
+
+
+def landing_pieces(text) -> Column:
+    """The same of a page's text without its markup."""
 
-    def pieces(text: Column) -> Column:
-        marked = F.regexp_replace(F.regexp_replace(text, r" \| ", "\n"), _PARTING, "\n$1\n")
+    def pieces(body: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(body, r" \| ", "\n"), _PARTING, "\n$1\n")
         return F.filter(F.transform(F.split(marked, r"[\n\r]+"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(_BOILERPLATE) & ((F.length(p) >= 40) | p.rlike(_SECTIONS)))
 
     def distinct(found: Column) -> Column:
         keys = F.transform(found, lambda p: F.lower(p))
         return T.let(keys, lambda k: F.filter(found, lambda p, i: F.array_position(k, F.lower(p)) == i + 1))
 
-    return F.array_join(T.let(T.let(T.html_text(x), pieces), distinct), "\n")
+    return F.array_join(T.let(T.let(T.col(text), pieces), distinct), "\n")
 
 
 def is_control_free(x) -> Column:

@@ -106,20 +106,27 @@ def hedge_score(x) -> Column:
 
 def relation_strength(relation, declared: dict[str, str] | None = None) -> Column:
     """strong, medium or weak; what a vocabulary declares wins."""
-    key = relation_key(relation)
-    usual = F.when(key.isin(*STRONG_RELATIONS), "strong").when(key.isin(*WEAK_RELATIONS), "weak").otherwise("medium")
-    if not declared:
-        return usual
-    by_name = F.create_map(*(F.lit(v) for kv in declared.items() for v in kv))
-    return F.coalesce(F.try_element_at(by_name, key), usual)
+
+    def graded(key: Column) -> Column:
+        usual = F.when(key.isin(*STRONG_RELATIONS), "strong").when(key.isin(*WEAK_RELATIONS), "weak").otherwise("medium")
+        if not declared:
+            return usual
+        by_name = F.create_map(*(F.lit(v) for kv in declared.items() for v in kv))
+        return F.coalesce(F.try_element_at(by_name, key), usual)
+
+    return let(relation_key(relation), graded)
 
 
 def evidence_strength(relation_strengths: Column, supports: Column, hedge: Column) -> Column:
     """strong: all hops strong, two sources each, hardly hedged. weak: a weak hop, much hedged, or a hop without source."""
-    all_strong = (F.size(relation_strengths) > 0) & F.forall(relation_strengths, lambda s: s == "strong")
     least = F.coalesce(F.array_min(supports), F.lit(0))
-    any_weak = F.array_contains(relation_strengths, "weak")
-    return F.when(all_strong & (least >= 2) & (hedge < 0.34), "strong").when(any_weak | (hedge >= 0.67) | (least == 0), "weak").otherwise("medium")
+
+    def graded(strengths: Column) -> Column:
+        all_strong = (F.size(strengths) > 0) & F.forall(strengths, lambda s: s == "strong")
+        any_weak = F.array_contains(strengths, "weak")
+        return F.when(all_strong & (least >= 2) & (hedge < 0.34), "strong").when(any_weak | (hedge >= 0.67) | (least == 0), "weak").otherwise("medium")
+
+    return let(relation_strengths, graded)
 
 
 def doi_norm(x) -> Column:
@@ -196,10 +203,14 @@ def markdown(title, abstract, body) -> Column:
 
 def looks_like_sentence(x, max_words: int = 8, max_words_joined: int = 5) -> Column:
     """A phrase too long for an entity's name, or two names joined by and/or."""
-    low, n = normalize_keyword(x), F.size(F.split(F.trim(F.coalesce(col(x), F.lit(""))), r"\s+"))
-    padded = F.concat(F.lit(" "), low, F.lit(" "))
-    joined = F.contains(padded, F.lit(" and ")) | F.contains(padded, F.lit(" or "))
-    return low.rlike("^(interaction between|binding of|association between) ") | (n > max_words) | (joined & (n > max_words_joined))
+    n = F.size(F.split(F.trim(F.coalesce(col(x), F.lit(""))), r"\s+"))
+
+    def judged(low: Column) -> Column:
+        padded = F.concat(F.lit(" "), low, F.lit(" "))
+        joined = F.contains(padded, F.lit(" and ")) | F.contains(padded, F.lit(" or "))
+        return low.rlike("^(interaction between|binding of|association between) ") | (n > max_words) | (joined & (n > max_words_joined))
+
+    return let(normalize_keyword(x), judged)
 
 
 def word_windows(text, words: int = 250, overlap: int = 40) -> Column:

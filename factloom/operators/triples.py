@@ -40,24 +40,27 @@ PROTEIN_FAMILY = r"^(?:IGF2BP|HNRNP|hnRNP|BRD|LATS|MST|TMPRSS|FZD|SMC|NSE|CUL)\w
 
 def drop_reason(generic: tuple[str, ...] = (), relations: tuple[str, ...] = (), types: tuple[str, ...] = (), aliases: tuple[str, ...] = ()) -> Column:
     """Why a row is dropped, or null: the first of the rules that it breaks. Empty lists switch their rules off."""
-    head, tail = T.normalize_keyword("head"), T.normalize_keyword("tail")
-    common = lambda x: (x.isin(*generic) if generic else F.lit(False)) | x.endswith(" et al")
-    why = F.when((head == "") | (tail == "") | (F.coalesce("normalized_relation", F.lit("")) == ""), "incomplete")
-    if relations:
-        why = why.when(~F.col("normalized_relation").isin(*relations), "relation")
-    if types:
-        why = why.when(~F.coalesce(F.col("head_type").isin(*types) & F.col("tail_type").isin(*types), F.lit(False)), "type")
-    known = lambda x: T.normalize_keyword(x).isin(*aliases) if aliases else F.lit(False)
-    short = lambda t, x: F.col(t).isin("Disease", "ClinicalEndpoint") & F.col(x).rlike("^[A-Z]{2,4}$") & ~known(x)
-    family = lambda t, x: (F.col(t) == "CellLine") & F.col(x).rlike(PROTEIN_FAMILY)
-    return (
-        why.when(F.coalesce(family("head_type", "head") | family("tail_type", "tail"), F.lit(False)), "protein_family")
-        .when(head == tail, "self_loop")
-        .when(T.looks_like_sentence("head") | T.looks_like_sentence("tail"), "sentence")
-        .when(common(head) | common(tail), "generic")
-        .when(F.coalesce(short("head_type", "head") | short("tail_type", "tail"), F.lit(False)), "short_name")
-        .when(F.col("normalized_relation").isin("downregulates", "upregulates", "regulates_expression_of") & (F.col("head_type") == "Disease") & F.col("tail_type").isin("Gene", "Protein"), "direction")
-    )
+
+    def judged(head: Column, tail: Column) -> Column:
+        common = lambda x: (x.isin(*generic) if generic else F.lit(False)) | x.endswith(" et al")
+        why = F.when((head == "") | (tail == "") | (F.coalesce("normalized_relation", F.lit("")) == ""), "incomplete")
+        if relations:
+            why = why.when(~F.col("normalized_relation").isin(*relations), "relation")
+        if types:
+            why = why.when(~F.coalesce(F.col("head_type").isin(*types) & F.col("tail_type").isin(*types), F.lit(False)), "type")
+        known = lambda x: T.normalize_keyword(x).isin(*aliases) if aliases else F.lit(False)
+        short = lambda t, x: F.col(t).isin("Disease", "ClinicalEndpoint") & F.col(x).rlike("^[A-Z]{2,4}$") & ~known(x)
+        family = lambda t, x: (F.col(t) == "CellLine") & F.col(x).rlike(PROTEIN_FAMILY)
+        return (
+            why.when(F.coalesce(family("head_type", "head") | family("tail_type", "tail"), F.lit(False)), "protein_family")
+            .when(head == tail, "self_loop")
+            .when(T.looks_like_sentence("head") | T.looks_like_sentence("tail"), "sentence")
+            .when(common(head) | common(tail), "generic")
+            .when(F.coalesce(short("head_type", "head") | short("tail_type", "tail"), F.lit(False)), "short_name")
+            .when(F.col("normalized_relation").isin("downregulates", "upregulates", "regulates_expression_of") & (F.col("head_type") == "Disease") & F.col("tail_type").isin("Gene", "Protein"), "direction")
+        )
+
+    return T.let(T.normalize_keyword("head"), lambda head: T.let(T.normalize_keyword("tail"), lambda tail: judged(head, tail)))
 
 
 def normalized(triples: DataFrame, min_confidence: float = 0.5, **rules) -> DataFrame:

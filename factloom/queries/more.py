@@ -70,8 +70,9 @@ def claim_validation(spark, d):
     """Every edge as a claim, with the rules that keep it from being asked."""
     s = triples.support(facts(spark, d), "head", "normalized_relation", "tail")
     strength = T.evidence_strength(F.array(T.relation_strength("normalized_relation")), F.array(F.col("support_count").cast("int")), F.lit(0.0))
-    reasons = C.failed(insufficient_multi_source_support=F.col("support_count") >= 2, question_type_not_allowed=strength != "weak")
-    return s.select("head", "tail", C.claim_text("head", "normalized_relation", "tail", strength).alias("claim"), F.array_join(reasons, ",").alias("reasons"))
+    s = s.withColumn("strength", strength)
+    reasons = C.failed(insufficient_multi_source_support=F.col("support_count") >= 2, question_type_not_allowed=F.col("strength") != "weak")
+    return s.select("head", "tail", C.claim_text("head", "normalized_relation", "tail", "strength").alias("claim"), F.array_join(reasons, ",").alias("reasons"))
 
 
 @query(
@@ -140,9 +141,8 @@ _PIECE = f"p <> '' AND NOT regexp_matches(p, '{C._BOILERPLATE}') AND (length(p)
 )
 def landing_pages(spark, d):
     """Pages as articles: their cleaned text's length and whether they pass for one."""
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    body = C.landing_text("html")
-    return table(spark, d, "pages").select("page_id", F.length(body).alias("n_chars"), C.is_article(T.html_text("html"), title, 200).alias("is_article"))
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), T.html_text("html").alias("text"))
+    return pages.select("page_id", F.length(C.landing_pieces("text")).alias("n_chars"), C.is_article("text", "title", 200).alias("is_article"))
 
 
 @query()
