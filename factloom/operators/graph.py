@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.plans.components import connected_components
+from factloom.plans.components import connected_components, joined_by_hub
 from factloom.plans.ranks import percent_rank, running_total
 from factloom.functions.text import normalize_keyword
 from factloom.operators.vectors import alike
@@ -34,9 +34,9 @@ def tier_weight(name: Column) -> Column:
 
 def components(edges: DataFrame, min_size: int = 1) -> DataFrame:
     """node and component of the weakly connected components of ``min_size`` nodes or more."""
-    found = connected_components(edges.select(F.col("head").alias("u"), F.col("tail").alias("v")))
+    found = stored(connected_components(edges.select(F.col("head").alias("u"), F.col("tail").alias("v"))), "components")
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    return found.join(sizes, "component").select("node", "component", "size")
+    return joined_by_hub(found, sizes, "component", "size").select("node", "component", "size")
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
@@ -88,7 +88,8 @@ def fused_groups(pairs: DataFrame, names: DataFrame) -> DataFrame:
     found = stored(connected_components(pairs.select("u", "v").union(same)), "groups")
     named = found.join(names, "node")
     best = F.max_by("name", F.struct(F.size(F.split(normalize_keyword(F.col("name")), " ")), F.length("name"), F.lower("name")))
-    return named.join(named.groupBy("component").agg(best.alias("canonical"), F.count(F.lit(1)).alias("size")), "component").select("node", F.col("component").alias("group"), "canonical", "size")
+    groups = named.groupBy("component").agg(best.alias("canonical"), F.count(F.lit(1)).alias("size"))
+    return joined_by_hub(named, groups, "component", "size").select("node", F.col("component").alias("group"), "canonical", "size")
 
 
 def fused(nodes: DataFrame, floor: float = 0.9) -> DataFrame:

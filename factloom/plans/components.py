@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from .storage import drop_stored, stored
 
+#: Rows of one key from which on its value is broadcast.
+HUB = 100_000
+
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def joined_by_hub(rows: DataFrame, values: DataFrame, key: str, size: str, hub: int = HUB) -> DataFrame:
+    """``rows`` with the one row of ``values`` that has their ``key``, where ``size`` says how many of ``rows`` have it; without a match a row is left out.
+
+    Keys of more than ``hub`` rows are sent to the rows where these lie, one
+    row for each, so that no task has to sort all that a key has. There are
+    fewer of them than rows divided by ``hub``.
+    """
+    hubs = F.broadcast(values.filter(F.col(size) > hub))
+    others = rows.join(hubs.select(key), key, "left_anti").join(values.filter(F.col(size) <= hub), key)
+    return others.union(rows.join(hubs, key))
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", hub: int = HUB) -> DataFrame:
     """(node, component) for each node of ``edges``; a component is named by its least node.
 
     Alternates large-star and small-star steps, each a minimum per node, which
     is partly aggregated before its shuffle, and a join that puts it back on
-    the edges. Every round is written to the shared folder; rounds grow with
+    the edges, those of hubs where they lie. Every round is written to the shared folder; rounds grow with
     the logarithm of the longest path. Links from a node to itself keep it as
     a component of its own; null ends are dropped; no edges give no rows.
     """
@@ -31,12 +46,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     while (now := _digest(links)) != seen and now[0]:
         seen = now
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by_hub(links.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", "n", hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "links")
         drop_stored(links)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = joined_by_hub(large, least, "u", "n", hub).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u <> v").distinct()
         links = stored(small, "links")
         drop_stored(large)
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

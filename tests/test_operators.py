@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import dedup, graph, reports, sampling, selection, triples, turns
-from factloom.plans.components import connected_components
+from factloom.plans.components import connected_components, joined_by_hub
 from factloom.plans.ranks import percent_rank, running_total
 
 TRIPLE = "doc_id string, chunk_id string, head string, head_type string, surface_relation string, normalized_relation string, tail string, tail_type string, confidence double, evidence string, source string, seq bigint"
@@ -87,6 +87,22 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(50, i) for i in range(51, 60)] + [(39, 50)], "u bigint, v bigint")
+    for hub in (2, 1000):
+        got = {r.node: r.component for r in connected_components(edges, hub=hub).collect()}
+        assert got == dict.fromkeys([*range(40), *range(50, 60)], 0)
+
+
+def test_a_hubs_rows_stay_where_they_lie(spark):
+    rows = spark.range(4000, numPartitions=4).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    found = joined_by_hub(rows, sizes, "k", "n", 100)
+    assert sorted(map(tuple, found.select("k", "id", "n").collect())) == sorted(map(tuple, rows.join(sizes, "k").select("k", "id", "n").collect()))
+    held = [r["count"] for r in found.filter("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 3600 and max(held) < 1200
+
+
 def test_pagerank_ranks_the_hub_first(spark):
     e = spark.createDataFrame([(f"n{i}", "hub", 1.0) for i in range(5)] + [("hub", "n0", 2.0)], "head string, tail string, weight double")
     ranks = {r.node: r["rank"] for r in graph.pagerank(e).collect()}
