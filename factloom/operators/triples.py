@@ -124,17 +124,25 @@ def local_edges(triples: DataFrame) -> DataFrame:
     )
 
 
-def global_edges(local: DataFrame, mode: str = "last") -> DataFrame:
+def document_order(rows: DataFrame) -> DataFrame:
+    """doc_id and doc_order, where each document first appears in ``rows``: triples or their local edges, which give the same."""
+    return rows.groupBy("doc_id").agg(F.min("seq").alias("doc_order"))
+
+
+def global_edges(local: DataFrame, mode: str = "last", order: DataFrame | None = None) -> DataFrame:
     """Edges over all documents: mode ``last`` lets the later document's edge replace the earlier's, ``sum`` adds them up.
 
-    The order of documents is that in which they first appear.
+    The order of documents is that in which they first appear; ``order`` is
+    that of ``document_order`` where the triples are at hand, which spares
+    making the local edges for it again.
     """
     keys = ["head", "tail", "normalized_relation"]
     if mode == "sum":
         return local.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.max("max_confidence").alias("max_confidence"), F.count(F.lit(1)).alias("n_docs"))
-    order = local.groupBy("doc_id").agg(F.min("seq").alias("doc_order"))
-    latest = local.join(order, "doc_id").groupBy(*keys).agg(F.max_by(F.struct("weight", "max_confidence", "evidence", "sources", "doc_id"), "doc_order").alias("edge"))
-    return latest.select(*keys, "edge.*")
+    order = document_order(local) if order is None else order
+    # a column each, all of the same row, so that those that nobody reads are never collected or shuffled
+    last = [F.max_by(c, "doc_order").alias(c) for c in ("weight", "max_confidence", "evidence", "sources", "doc_id")]
+    return local.join(order, "doc_id").groupBy(*keys).agg(*last)
 
 
 def nodes(triples: DataFrame) -> DataFrame:

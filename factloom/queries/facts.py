@@ -89,7 +89,8 @@ _LOCAL = """local AS (SELECT doc_id, head, tail, relation, sum(confidence) weigh
     FROM local JOIN docs USING (doc_id) GROUP BY head, tail, relation"""
 )
 def edge_global_last_doc(spark, d):
-    found = triples.global_edges(triples.local_edges(facts(spark, d)))
+    rows = facts(spark, d)
+    found = triples.global_edges(triples.local_edges(rows), order=triples.document_order(rows))
     return found.select("head", "tail", "normalized_relation", F.round("weight", 6).alias("weight"), "max_confidence", "doc_id")
 
 

@@ -74,6 +74,17 @@ def test_lookup_strategies(spark):
     assert got == {"Alpha": (1.0, "exact"), " alpha": (1.0, "canonical"), "FIRST": (1.0, "alias"), "none": (None, "not_found")}
 
 
+def test_unread_evidence_of_edges_is_not_collected(spark):
+    rows = [("d1", "a", "b", "r", 0.5, "first", "s", 1), ("d2", "a", "b", "r", None, "second", "t", 2), ("d2", "a", "c", "r", 0.25, "third", "t", 0)]
+    table = spark.createDataFrame(rows, "doc_id string, head string, tail string, normalized_relation string, confidence double, evidence string, source string, seq long")
+    local = triples.local_edges(table)
+    for order in (None, triples.document_order(table)):
+        found = triples.global_edges(local, order=order)
+        # d2 comes first by its other row, so that d1 is the last; all columns are of one row
+        assert {r.tail: (r.weight, r.max_confidence, r.evidence, r.sources, r.doc_id) for r in found.collect()} == {"b": (0.5, 0.5, ["first"], ["s"], "d1"), "c": (0.25, 0.25, ["third"], ["t"], "d2")}
+        assert "collect" not in found.select("head", "tail", "weight", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     draw = random.Random(seed)
