@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for patterns.
 WS = r"(?U)\s+"
+#: Text that is normal as it stands: printable ASCII with one space between words. One look, where replacing takes two slow ones.
+PLAIN = r"\A(?:[!-~]++(?: [!-~]++)*+)?\z"
 
 
 def col(x: str | Column) -> Column:
@@ -20,7 +22,10 @@ def let(value: Column, body) -> Column:
 
 def normalize_text(x) -> Column:
     """NULs to spaces, runs of white space to one space, ends stripped; null gives ''."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(x).cast("string"), F.lit("")), "\\x00", " "), WS, " "))
+    given = F.coalesce(col(x).cast("string"), F.lit(""))
+    normal = F.trim(F.regexp_replace(F.regexp_replace(given, "\\x00", " "), WS, " "))
+    # an expression isn't repeated, as plans would grow with every call within another
+    return F.when(given.rlike(PLAIN), given).otherwise(normal) if isinstance(x, str) else normal
 
 
 def normalize_keyword(x) -> Column:
@@ -29,11 +34,11 @@ def normalize_keyword(x) -> Column:
 
 def entity_key(x) -> Column:
     """Case-folded normalized text; of the letters whose case folding isn't their lower case, sharp s is covered."""
-    return F.regexp_replace(F.lower(normalize_text(x)), "ß", "ss")
+    return F.replace(F.lower(normalize_text(x)), F.lit("ß"), F.lit("ss"))
 
 
 def relation_key(x) -> Column:
-    return F.lower(F.regexp_replace(normalize_text(x), " ", "_"))
+    return F.lower(F.replace(normalize_text(x), F.lit(" "), F.lit("_")))
 
 
 def snake_case(x) -> Column:

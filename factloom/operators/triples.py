@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 
+#: Parts into which a key's rows without a document are dealt.
+PARTS = 64
+
 KEY = ("doc_id", "head", "head_type", "normalized_relation", "tail", "tail_type")
 
 #: Passive relations and the active ones that they turn into.
@@ -98,16 +101,20 @@ def source_key(doc: str = "doc_id", chunk: str = "chunk_id", evidence: str = "ev
 def support(triples: DataFrame, *keys: str, wording: tuple[str, ...] = ()) -> DataFrame:
     """Per key: independent sources, documents, mean and greatest confidence; with ``wording`` also chunks and, in ``first``, these columns of the first row by seq.
 
-    Counted level by level, sources within documents within keys, each partly
-    aggregated before its shuffle, where distinct counts would copy every row.
+    Counted level by level, sources within documents within keys, where
+    distinct counts would copy every row. Rows are dealt once, by key and
+    document; what a document says of a key meets there, and documents are
+    partly aggregated before keys are. Rows without a document are dealt into
+    parts by source, so that they are no one task's.
     """
     f, n = F.col("confidence"), F.col("confidence").isNotNull()
     best = [F.min(F.struct("seq", *wording)).alias("_first")] if wording else []
     later = [F.min("_first").alias("_first")] if wording else []
     rows = triples.withColumns({"_doc": T.normalize_text("doc_id"), "_source": source_key()})
-    sources = rows.groupBy(*keys, "_doc", "_source").agg(F.sum(f).alias("_sum"), F.count_if(n).alias("_n"), F.max(f).alias("_max"), *best)
+    rows = rows.withColumn("_part", F.when(F.col("_doc") == "", F.pmod(F.xxhash64("_source"), F.lit(PARTS))).otherwise(0))
+    sources = rows.repartition(*keys, "_doc", "_part").groupBy(*keys, "_doc", "_part", "_source").agg(F.sum(f).alias("_sum"), F.count_if(n).alias("_n"), F.max(f).alias("_max"), *best)
     chunks = F.count_if(F.col("_source.c") != "").alias("_chunks")
-    documents = sources.groupBy(*keys, "_doc").agg(F.count("_source").alias("_sources"), chunks, F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_max").alias("_max"), *later)
+    documents = sources.groupBy(*keys, "_doc", "_part").agg(F.count("_source").alias("_sources"), chunks, F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_max").alias("_max"), *later)
     whole = documents.groupBy(*keys).agg(
         F.sum("_sources").alias("support_count"), F.count_if(F.col("_doc") != "").alias("doc_count"), F.sum("_chunks").alias("chunk_count"),
         F.try_divide(F.sum("_sum"), F.sum("_n")).alias("avg_confidence"), F.max("_max").alias("max_confidence"), *later,

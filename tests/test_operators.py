@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import text
 from factloom.operators import dedup, graph, reports, sampling, selection, triples, turns
 from factloom.plans.components import connected_components, joined_by_hub
 from factloom.plans.ranks import percent_rank, running_total
@@ -74,6 +75,25 @@ def test_lookup_strategies(spark):
     assert got == {"Alpha": (1.0, "exact"), " alpha": (1.0, "canonical"), "FIRST": (1.0, "alias"), "none": (None, "not_found")}
 
 
+def test_support_deals_rows_once_by_key_and_document(spark):
+    rows = [("d1", "c1", "x", 0.5, 3), ("d1", "c2", "y", 0.5, 1), ("d1", "c1", "z", 1.0, 2), (None, None, "one", None, 4), ("", "", "two", 0.0, 5), (" ", None, "", 0.25, 6)]
+    rows += [(None, None, f"said {i % 30}", None, 10 + i) for i in range(60)]
+    table = spark.createDataFrame([("a", *r) for r in rows], "head string, doc_id string, chunk_id string, evidence string, confidence double, seq long")
+    found = triples.support(table, "head", wording=("evidence",))
+    r = found.first()
+    assert (r.support_count, r.doc_count, r.chunk_count, r.avg_confidence, r.max_confidence, r["first"].evidence) == (34, 1, 2, 0.45, 1.0, "y")
+    # to (key, document), and to the key
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+
+
+def test_plain_text_is_normal(spark):
+    texts = ["", " ", "a", "a b", "a  b", " a", "a ", "a\n", "a\nb", "a\u00a0b", "a\u0000b", "\u0000", "Stra\u00dfe", "A_b c~!", "a\tb", "\u2003x", None]
+    table = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = table.select("x", text.normalize_text("x").alias("whole"), text.normalize_text(F.col("x")).alias("slow"), text.entity_key("x").alias("key")).collect()
+    assert all(r.whole == r.slow for r in got) and {r.x: r.key for r in got}["Stra\u00dfe"] == "strasse"
+    assert {r.x: r.whole for r in got}["a\u00a0b"] == "a b"
+
+
 def test_unread_evidence_of_edges_is_not_collected(spark):
     rows = [("d1", "a", "b", "r", 0.5, "first", "s", 1), ("d2", "a", "b", "r", None, "second", "t", 2), ("d2", "a", "c", "r", 0.25, "third", "t", 0)]
     table = spark.createDataFrame(rows, "doc_id string, head string, tail string, normalized_relation string, confidence double, evidence string, source string, seq long")
