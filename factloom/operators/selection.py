@@ -41,19 +41,21 @@ def allocated_by_node(touched: DataFrame, nodes: DataFrame, targets: dict[str, i
     """
     spark = touched.sparkSession
     kinds = dict(touched.dtypes)
-    all_ = stored(touched.select("id", "type", "node").dropna(subset=["id", "node"]).distinct().withColumn("draw", draw(seed, "id")), "touched")
-    types = [r["type"] for r in all_.select("type").distinct().collect()]  # a row for each type
     demand = stored(nodes.select("node", "tier", F.col("quota").alias("want")).filter("want > 0"), "demand")
+    all_ = stored(touched.select("id", "type", "node").dropna(subset=["id", "node"]).distinct(), "touched")
+    types = [r["type"] for r in all_.select("type").distinct().collect()]  # a row for each type
     path, rounds, have = new_path(spark, "picks"), 0, dict.fromkeys(types, 0)
     none = spark.createDataFrame([], f"id {kinds['id']}, type string, node {kinds['node']}, tier string, round int")
     picks = none
     for tier in ("T1", "T2", "T3"):
+        # a tier's rounds read what its own nodes touch
+        own = stored(all_.join(broadcast_if_small(demand.filter(F.col("tier") == tier).select("node").distinct()), "node", "left_semi").withColumn("draw", draw(seed, "id")), "touched")
         while True:
             behind = {t: targets.get(t, 0) - n for t, n in have.items()}
             # picks are fewer than quotas; what is open and lacking follows from them, so that no round writes it again
             got = broadcast_if_small(picks.filter(F.col("tier") == tier).groupBy("node").agg(F.count(F.lit(1)).alias("got")))
             lacking = demand.filter(F.col("tier") == tier).join(got, "node", "left").filter(F.col("want") > F.coalesce("got", F.lit(0))).select("node", "tier")
-            asked = all_.join(broadcast_if_small(lacking), "node").join(broadcast_if_small(picks.select("id")), "id", "left_anti")
+            asked = own.join(broadcast_if_small(lacking), "node").join(broadcast_if_small(picks.select("id")), "id", "left_anti")
             by_type = asked.groupBy("node", "tier", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "id")).alias("first"))
             state = F.lit(0).cast("bigint")
             for t, m in behind.items():
