@@ -29,7 +29,9 @@ def normalize_text(x) -> Column:
 
 
 def normalize_keyword(x) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(col(x), F.lit(""))), WS, " "))
+    low = F.lower(F.coalesce(col(x), F.lit("")))
+    normal = F.trim(F.regexp_replace(low, WS, " "))
+    return F.when(low.rlike(PLAIN), low).otherwise(normal) if isinstance(x, str) else normal
 
 
 def entity_key(x) -> Column:

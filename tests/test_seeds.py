@@ -78,3 +78,31 @@ def test_items_against_plain_loops(spark):
     assert sorted(tuple(x) for x in found.collect()) == sorted(triples)
     none = benchmark.accepted(RULES, got.limit(0), found.limit(0).withColumn("seq", F.lit(1)), "item")
     assert none.count() == 0
+
+
+def test_runs_are_found_in_one_look(spark):
+    """The same runs as the SQL's pattern gives, and a long word isn't read again from each of its letters."""
+    import re
+    import time
+
+    from factloom.queries import items
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("aabzA1/-: .é\n") for _ in range(r.randrange(60))) for _ in range(400)]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").select("id", items._found().alias("f")).collect()
+    assert {x.id: x.f for x in found} == {i: re.findall(items._RUN, t) for i, t in enumerate(texts)}
+    began = time.time()
+    long = spark.createDataFrame([("b" * 400_000 + " Aba x1",)], "text string")
+    assert long.select(items._found().alias("f")).first().f == ["Aba x1"] and time.time() - began < 20
+
+
+def test_steps_equal_one_expression(spark):
+    """Cleaned in projections, judged by columns: as ``cleaned`` and ``useless`` say of a name alone, whatever its spaces."""
+    r = random.Random(9)
+    words = ["what", "is", "the", "a", "and", "Kh1", "domain", "Domains", "D2", "in", "ring", "Öl-Ring", "protein", "PROTEINS", "role", "of", " ", "\t", "(x", "p53.", "aB"]
+    rows = [(i, [" ".join(r.choices(words, k=r.randrange(1, 9)))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, found array<string>")
+    got = benchmark.candidates(RULES, df, "id", F.col("found")).collect()
+    one = df.select("id", F.explode("found").alias("raw")).select("id", F.posexplode(seeds.compounds(RULES, seeds.cleaned(RULES, F.concat("raw", F.lit("")))))).select("id", "pos", seeds.canonical(RULES, F.concat("col", F.lit(""))).alias("n"))
+    want = one.select("id", "pos", "n", seeds.useless(RULES, "n").alias("why")).collect()
+    assert len(got) > 300 and {(x.id, x.place.part): (x.name, x.reason) for x in got} == {(x.id, x.pos): (x.n, x.why) for x in want}
