@@ -170,13 +170,15 @@ def expanded_with_notes(seeds: DataFrame, links: DataFrame, rounds: int, cap: in
     first = running_total(seeds.select("term").dropna().distinct().withColumn("_one", F.lit(1)), "term", "_one", "place")
     met = [stored(first.select("term", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("round"), F.col("place").cast("bigint").alias("place"), F.lit(True).alias("accepted"), F.lit("").alias("note")), "round")]
     n = met[0].count()
-    links = links.select("term", "next").dropna().distinct()
+    links = links.select("term", "next").dropna()
     for i in range(1, rounds + 1):
         known = met[0].filter("accepted").select("term")
         for m in met[1:]:
             known = known.union(m.filter("accepted").select("term"))
         at = met[-1].filter("accepted").select("term", F.col("place").alias("_from"))
-        found = at.join(links, "term").select(F.col("next").alias("term"), F.col("term").alias("parent"), F.struct("_from", "next").alias("_order"), F.lit(1).alias("_one"))
+        # repeated links go once they are those of the frontier, which seldom are many
+        own = links.join(broadcast_if_small(at), "term").distinct()
+        found = own.select(F.col("next").alias("term"), F.col("term").alias("parent"), F.struct("_from", "next").alias("_order"), F.lit(1).alias("_one"))
         numbered = stored(running_total(found, "_order", "_one", "_n").select("term", "parent", (F.lit(n) + F.col("_n")).cast("bigint").alias("place")), "met")
         size = numbered.count()
         if not size:

@@ -121,3 +121,15 @@ def test_rounds_are_fewer_than_picks(spark):
 
 def test_subset_of_nothing(spark):
     assert selection.balanced_subset(spark.createDataFrame([], "id long, stratum string, items array<string>"), 3, 5).count() == 0
+
+
+def test_links_are_told_apart_behind_the_frontier(spark, monkeypatch):
+    """A round gathers the links of its own frontier alone; repeated links count once."""
+    from factloom.operators import graph
+
+    plans, total = [], graph.running_total
+    monkeypatch.setattr(graph, "running_total", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or total(df, *a))
+    links = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("c", "a"), ("x", "y")], "term string, next string")
+    got = graph.expanded_with_notes(spark.createDataFrame([("a",)], "term string"), links, 2, 100).select("term", "parent", "round", "note").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "c", 2, "duplicate"), ("a", None, 0, ""), ("b", "a", 1, ""), ("c", "a", 1, "")]
+    assert len(plans) == 3 and all(p.count("Aggregate") == 1 and p.index("Aggregate") < p.index("Join") for p in plans[1:])
