@@ -98,7 +98,7 @@ class _Greedy:
         self.spark = candidates.sparkSession
         self.kind = dict(candidates.dtypes)["id"]
         each = candidates.filter(F.col("id").isNotNull())
-        self.ids = each.select("id", "stratum").distinct()
+        self.ids = each.select("id", "stratum")
         self.items = stored(each.select("id", "stratum", F.explode("items").alias("item")).filter(F.col("item").isNotNull()).distinct(), "items")
         self.chosen: dict = {}
         self.rounds = 0
@@ -185,7 +185,8 @@ def greedy_cover(candidates: DataFrame, picks: int, stop_at_no_gain: bool = True
 def balanced_subset(candidates: DataFrame, cap: int, budget: int) -> DataFrame:
     """pick, id, phase and gain: of each stratum up to ``cap`` candidates by what they add, then others by what they add.
 
-    ``candidates`` has id, stratum and items. Strata are served by name, each
+    ``candidates`` has id, stratum and items, in one row or in several; dealt
+    out by id, they are told apart where they lie. Strata are served by name, each
     greedily over what all before left uncovered, ties to the least id, also
     when nothing more is added. Then, whatever the stratum, candidates that
     add something follow until ``budget`` are picked or nothing is left to add.

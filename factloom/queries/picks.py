@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, sampling, selection, sessions
-from factloom.plans.storage import stored
+from factloom.plans.storage import parts_for, stored
 
 from .base import facts, query, table
 
@@ -36,9 +36,17 @@ def sampling_ratios(kinds: list[str]) -> dict[str, float]:
 @query()
 def balanced_subset(spark, d):
     """Orders that cover most kinds of parts, three of each priority and status first; choices in sequence, so without SQL."""
-    rows = _samples(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    items = rows.groupBy(F.col("o_orderkey").alias("id"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("stratum")).agg(F.collect_set(F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))).alias("items"))
-    return selection.balanced_subset(items, 3, 150)
+    return selection.balanced_subset(_kinds_of_parts(spark, d), 3, 150)
+
+
+def _kinds_of_parts(spark, d):
+    """A row for each line: the order as id, its stratum, and the kind of part as items; dealt out by id, no partition with more than its share of a larger table."""
+    line, orders, part = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
+    n = parts_for(spark, line.count())
+    part = part.select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("item")).repartition(n, "p_partkey")
+    orders = orders.select("o_orderkey", F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("stratum")).repartition(n, "o_orderkey")
+    lines = line.select("l_orderkey", "l_partkey").repartition(n, "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "item")
+    return lines.repartition(n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("id"), "stratum", F.array("item").alias("items"))
 
 
 @query()

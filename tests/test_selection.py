@@ -133,3 +133,17 @@ def test_links_are_told_apart_behind_the_frontier(spark, monkeypatch):
     got = graph.expanded_with_notes(spark.createDataFrame([("a",)], "term string"), links, 2, 100).select("term", "parent", "round", "note").collect()
     assert sorted(map(tuple, got), key=str) == [("a", "c", 2, "duplicate"), ("a", None, 0, ""), ("b", "a", 1, ""), ("c", "a", 1, "")]
     assert len(plans) == 3 and all(p.count("Aggregate") == 1 and p.index("Aggregate") < p.index("Join") for p in plans[1:])
+
+
+def test_lines_of_a_larger_table_are_dealt_into_more_parts(spark, monkeypatch):
+    """No order's kinds are collected, and a part holds its share of lines whatever the size; repeated rows of an id count once."""
+    from factloom.plans import storage
+    from factloom.queries import picks
+
+    monkeypatch.setattr(picks, "parts_for", lambda s, rows: storage.parts_for(s, rows, 500))
+    rows = picks._kinds_of_parts(spark, "/root/testdata/sf0.001")
+    assert storage.parts_for(spark, 3) == 4 and storage.parts_for(spark, 5_000_001) == 11
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 500) > 4
+    assert "collect_set" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    table = spark.createDataFrame([(1, "s", ["a"]), (1, "s", ["b"]), (1, "s", ["a"]), (2, "s", ["c"])], "id long, stratum string, items array<string>")
+    assert sorted(map(tuple, selection.balanced_subset(table, 1, 3).collect())) == [(1, 1, 1, 2), (2, 2, 2, 1)]
