@@ -68,6 +68,7 @@ def _directions(width: int):
 
 
 def _projected(batches):
+    """Vectors with their shadows. Floats stay as they are, half as wide as the doubles of vectors brought to length 1."""
     import numpy as np
     import pyarrow as pa
 
@@ -82,7 +83,9 @@ def _projected(batches):
             shadows[:, : min(DIRECTIONS, width)] = m @ _directions(width)
             for i, unit, shadow in zip(at, m, shadows, strict=True):
                 of[i] = (unit, shadow)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), pa.array([x[0] for x in of], pa.list_(pa.float64())), pa.array([x[1] for x in of], pa.list_(pa.float64()))], ["id", "kind", "vector", "shadow"])
+        given = batch.column("vector")
+        sent = given if pa.types.is_float32(given.type.value_type) else pa.array([x[0] for x in of], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), sent, pa.array([x[1] for x in of], pa.list_(pa.float64()))], ["id", "kind", "vector", "shadow"])
 
 
 def _matches(floor: float, links: bool):
@@ -155,13 +158,14 @@ def alike(rows: DataFrame, floor: float, links: bool = False) -> DataFrame:
     null, empty, zero and non-finite vectors are like none, and so are vectors
     of different lengths.
     """
-    v = F.col("vector").cast("array<double>")
+    width = "float" if dict(rows.dtypes)["vector"] == "array<float>" else "double"
+    v = F.col("vector").cast(f"array<{width}>")
     fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     given = rows.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("kind") != "", F.col("kind")).alias("kind"), v.alias("vector")).filter(fit & F.col("id").isNotNull())
     given = stored(given, "vectors")
     one = given.groupBy("kind", "vector").agg(F.min("id").alias("id"))
     copies = given.join(one.withColumnRenamed("id", "u"), given["vector"].eqNullSafe(one["vector"]) & given["kind"].eqNullSafe(one["kind"])).select("u", F.col("id").alias("v"), F.lit(1.0).alias("similarity")).filter("u < v").distinct()
-    blocks = stored(_blocks(one.select("id", "kind", "vector").mapInArrow(_projected, "id bigint, kind string, vector array<double>, shadow array<double>")), "blocks")
+    blocks = stored(_blocks(one.select("id", "kind", "vector").mapInArrow(_projected, f"id bigint, kind string, vector array<{width}>, shadow array<double>")), "blocks")
     pairs = stored(_meeting(blocks, floor), "meeting")
     held = blocks.select("block", "id", "vector")
     a = held.join(pairs, F.col("block") == F.col("a"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import graph, vectors
 
@@ -82,3 +83,15 @@ def test_fusion(spark):
         if names:
             best = max(names, key=lambda x: (len(key(x).split()), len(x), x.lower()))
             assert (len(key(got[g].canonical).split()), len(got[g].canonical), got[g].canonical.lower()) == (len(key(best).split()), len(best), best.lower())
+
+
+def test_floats_are_sent_as_floats(spark, monkeypatch):
+    """Vectors of floats meet as such, half as wide as doubles, with the same links."""
+    from factloom.operators import vectors as V
+
+    kinds, blocks = [], V._blocks
+    monkeypatch.setattr(V, "_blocks", lambda rows: kinds.append(dict(rows.dtypes)["vector"]) or blocks(rows))
+    rows = spark.range(60).select("id", F.lit("k").alias("kind"), F.array(*(F.sin(F.col("id") * (i + 1)) for i in range(6))).alias("vector"))
+    single = rows.withColumn("vector", F.col("vector").cast("array<float>"))
+    got = [sorted((r.u, r.v, r.similarity) for r in V.alike(x, 0.7).collect()) for x in (single, single.withColumn("vector", F.col("vector").cast("array<double>")))]
+    assert kinds == ["array<float>", "array<double>"] and got[0] == got[1] and got[0]
