@@ -34,6 +34,11 @@ def normalize_keyword(x) -> Column:
     return F.when(low.rlike(PLAIN), low).otherwise(normal) if isinstance(x, str) else normal
 
 
+def sql_lower(x) -> Column:
+    """Lower case of each letter by itself, as SQL has it: no sigma depends on its place, no capital I leaves its dot."""
+    return F.lower(F.replace(F.replace(col(x), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+
+
 def entity_key(x) -> Column:
     """Case-folded normalized text; of the letters whose case folding isn't their lower case, sharp s is covered."""
     return F.replace(F.lower(normalize_text(x)), F.lit("ß"), F.lit("ss"))
@@ -80,6 +85,11 @@ def keyword_similarity(keyword, text) -> Column:
     return F.when((key == "") | (body == ""), F.lit(0.0)).when(F.contains(body, key), F.lit(1.0)).otherwise(share)
 
 
+def held(keyword, text) -> Column:
+    """1 where the text holds the keyword as it stands, in any case, else 0; every text holds an empty one, and null neither holds nor is held."""
+    return F.when(F.contains(sql_lower(text), sql_lower(keyword)), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
 def title_overlap(a, b) -> Column:
     tokens = token_set(a)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(tokens, token_set(b))), F.size(tokens)), F.lit(0.0))

@@ -35,3 +35,8 @@ def both(spark, folder, name):
 def test_dedup_first_keeps_what_null_and_empty_texts_have(spark, odd):
     got, want = both(spark, odd, "dedup_first")
     assert got == want
+
+
+def test_keyword_match_score_of_blank_texts_and_sources(spark, odd):
+    got, want = both(spark, odd, "keyword_match_score")
+    assert got == want
