@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s+"
 #: Text that is normal as it stands: printable ASCII with one space between words. One look, where replacing takes two slow ones.
 PLAIN = r"\A(?:[!-~]++(?: [!-~]++)*+)?\z"
+#: White space as SQL's patterns have it, and the spaces that its trim takes off.
+SQL_WS, SQL_SPACES = r"[\t\n\f\r ]+", " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def col(x: str | Column) -> Column:
@@ -34,6 +36,11 @@ def normalize_keyword(x) -> Column:
     return F.when(low.rlike(PLAIN), low).otherwise(normal) if isinstance(x, str) else normal
 
 
+def sql_spaced(x) -> Column:
+    """Runs of white space to one space, ends stripped, as SQL has them; null stays null."""
+    return F.when(col(x).rlike(PLAIN), col(x)).otherwise(F.btrim(F.regexp_replace(col(x), SQL_WS, " "), F.lit(SQL_SPACES)))
+
+
 def sql_lower(x) -> Column:
     """Lower case of each letter by itself, as SQL has it: no sigma depends on its place, no capital I leaves its dot."""
     return F.lower(F.replace(F.replace(col(x), F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
@@ -180,10 +187,15 @@ def split_authors(x) -> Column:
     return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != ""))
 
 
+def title_key(normal: Column) -> Column:
+    """A normal title's name in a cache; an empty one has one too."""
+    return F.concat(F.lit("title::"), F.sha2(normal, 256))
+
+
 def cache_key(doi, pmcid, pmid, title) -> Column:
     """The first of four ids that isn't empty, under its name; titles as digests. Null where all are empty."""
     named = [F.when(normalize_keyword(x) != "", F.concat(F.lit(f"{name}::"), normalize_keyword(x))) for name, x in (("doi", doi), ("pmcid", pmcid), ("pmid", pmid))]
-    return F.coalesce(*named, F.when(normalize_keyword(title) != "", F.concat(F.lit("title::"), F.sha2(normalize_keyword(title), 256))))
+    return F.coalesce(*named, F.when(normalize_keyword(title) != "", title_key(normalize_keyword(title))))
 
 
 def cache_slug(key, length: int = 16) -> Column:

@@ -40,3 +40,8 @@ def test_dedup_first_keeps_what_null_and_empty_texts_have(spark, odd):
 def test_keyword_match_score_of_blank_texts_and_sources(spark, odd):
     got, want = both(spark, odd, "keyword_match_score")
     assert got == want
+
+
+def test_text_keys_of_null_and_blank_texts(spark, odd):
+    got, want = both(spark, odd, "text_keys")
+    assert got == want
