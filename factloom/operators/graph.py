@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.plans.components import connected_components, joined_by_hub
+from factloom.plans.components import connected_components, joined_by_hub, labelled
 from factloom.plans.ranks import percent_rank, running_total
 from factloom.functions.text import normalize_keyword
 from factloom.operators.vectors import alike
@@ -33,10 +33,8 @@ def tier_weight(name: Column) -> Column:
 
 
 def components(edges: DataFrame, min_size: int = 1) -> DataFrame:
-    """node and component of the weakly connected components of ``min_size`` nodes or more."""
-    found = stored(connected_components(edges.select(F.col("head").alias("u"), F.col("tail").alias("v"))), "components")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    return joined_by_hub(found, sizes, "component", "size").select("node", "component", "size")
+    """node, component and its size, of the weakly connected components of ``min_size`` nodes or more."""
+    return labelled(edges, "head", "tail").filter(F.col("size") >= min_size)
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import dedup, graph, reports, sampling, selection, triples, turns
+from factloom.plans import components as plan
 from factloom.plans.components import connected_components, joined_by_hub
+from factloom.plans.storage import stored
 from factloom.plans.ranks import percent_rank, running_total
 
 TRIPLE = "doc_id string, chunk_id string, head string, head_type string, surface_relation string, normalized_relation string, tail string, tail_type string, confidence double, evidence string, source string, seq bigint"
@@ -125,6 +127,24 @@ def test_components_of_hubs(spark):
         assert got == dict.fromkeys([*range(40), *range(50, 60)], 0)
 
 
+def test_components_contract(spark, monkeypatch):
+    rows = {}
+
+    def kept(df, label):
+        out = stored(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(plan, "stored", kept)
+    # names, not numbers: orders of customers, and parts of several suppliers
+    orders = spark.range(3000).select(F.format_string("order %d", "id").alias("u"), F.format_string("customer %d", F.col("id") % 300).alias("v"))
+    parts = spark.range(6000).select(F.format_string("part %d", F.col("id") % 1000).alias("u"), F.format_string("supplier %d", (F.floor(F.col("id") / 1000) * 37 + F.col("id")) % 20).alias("v"))
+    customers = spark.range(300).select(F.format_string("customer %d", "id"), F.format_string("nation %d", F.col("id") % 2))
+    found = connected_components(orders.union(parts).union(customers).union(spark.createDataFrame([("alone", "alone"), (None, "alone")], "u string, v string")))
+    assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()} == {("customer 0", 1651), ("customer 1", 1651), ("part 0", 1020), ("alone", 1)}
+    assert rows["links"][1] < rows["links"][0] / 10 and rows["links"][-1] == 0
+
+
 def test_a_hubs_rows_stay_where_they_lie(spark):
     rows = spark.range(4000, numPartitions=4).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
